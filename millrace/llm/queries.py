@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, sharding
+from millrace.llm import chat, quality, sharding
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("p_good", 6).alias("p_good"),
+    )
+
+
 #: Added to the table of op9: control strings as plain text.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -45,6 +52,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
