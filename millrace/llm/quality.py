@@ -33,6 +33,10 @@ START = (0.1, 0.95)
 PRIOR = (0.5, 0.98)
 #: Documents added to each count of votes, against rates of zero.
 SMOOTH = 0.5
+#: A rule votes against good documents at most this often.
+FALSE_ALARM = 0.01
+#: Rules look for one defect each, so a vote for a document says little: at most this many log odds.
+MOST_FOR = 0.25
 ROUNDS = 200
 
 #: name -> (bad where, good where), over the statistics below; anything else abstains.
@@ -122,7 +126,7 @@ Rates = list[list[dict[int, float]]]
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]:
-    """Share of good documents, and how often each rule votes each way on bad [0] and on good [1] ones.
+    """Share of good documents, and which way each rule votes, where it votes, on bad [0] and on good [1] ones.
 
     Expectation-maximisation over patterns of votes and their counts. It starts
     from the belief that a vote against a document is mostly right, which also
@@ -130,7 +134,7 @@ def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]:
     """
     m, total = len(RULES), sum(n for _, n in counts)
     good = [START[0] if min(pattern) < 0 else START[1] for pattern, _ in counts]
-    prior, rates = 0.5, [[{-1: 1 / 3, 0: 1 / 3, 1: 1 / 3} for _ in range(m)] for _ in range(2)]
+    prior, rates = 0.5, [[{-1: 0.5, 1: 0.5} for _ in range(m)] for _ in range(2)]
     for _ in range(ROUNDS if total else 0):
         was = prior
         weight = [[n * (1 - p) for (_, n), p in zip(counts, good, strict=True)], [n * p for (_, n), p in zip(counts, good, strict=True)]]
@@ -138,11 +142,13 @@ def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]:
         prior = min(PRIOR[1], max(PRIOR[0], mass[1] / total))
         for c in range(2):
             for k in range(m):
-                rates[c][k] = {
-                    v: (SMOOTH + sum(w for (pattern, _), w in zip(counts, weight[c], strict=True) if pattern[k] == v))
-                    / (3 * SMOOTH + mass[c])
-                    for v in (-1, 0, 1)
+                votes = {
+                    v: SMOOTH + sum(w for (pattern, _), w in zip(counts, weight[c], strict=True) if pattern[k] == v)
+                    for v in (-1, 1)
                 }
+                against = votes[-1] / (votes[-1] + votes[1])
+                against = min(against, FALSE_ALARM) if c else against
+                rates[c][k] = {-1: against, 1: 1 - against}
         good = [posterior(pattern, prior, rates) for pattern, _ in counts]
         if abs(was - prior) < 1e-9:
             break
@@ -150,9 +156,11 @@ def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]:
 
 
 def log_odds(k: int, vote: int, rates: Rates) -> float:
-    """What a vote adds to the log odds of being good; a vote for never counts against, nor the other way."""
+    """What a vote adds to the log odds of being good: nothing if it abstains, little if it only misses a defect."""
+    if not vote:
+        return 0.0
     x = math.log(rates[1][k][vote] / rates[0][k][vote])
-    return max(x, 0.0) if vote > 0 else min(x, 0.0) if vote < 0 else x
+    return min(max(x, 0.0), MOST_FOR) if vote > 0 else min(x, 0.0)
 
 
 def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
@@ -169,7 +177,7 @@ def judge(docs: DataFrame) -> DataFrame:
     prior, rates = estimate(counts)
     odds = F.lit(math.log(prior / (1 - prior)))
     for k, name in enumerate(RULES):
-        odds = odds + F.when(F.col(name) > 0, log_odds(k, 1, rates)).when(F.col(name) < 0, log_odds(k, -1, rates)).otherwise(log_odds(k, 0, rates))
+        odds = odds + F.when(F.col(name) > 0, log_odds(k, 1, rates)).when(F.col(name) < 0, log_odds(k, -1, rates)).otherwise(0.0)
     return (
         voted.withColumn("p_good", 1 / (1 + F.exp(-odds)))
         .withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
