@@ -8,7 +8,8 @@ being good follows from its pattern; it is kept where that is at least
 ``KEEP_AT`` and the base rules pass. Every document enters the estimate.
 
 All text statistics are computed inside the row from arrays: nothing is
-exploded, so the only shuffle is the count by pattern. Repeated windows are
+exploded, so the only shuffle is the count by pattern; the statistics are written
+once, so that texts are read once. Repeated windows are
 found from one hash a word and one a window; a document whose windows are all
 distinct (nearly all are) stops there.
 
@@ -23,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]"
 #: Posterior probability of being good from which a document is kept.
@@ -170,7 +173,7 @@ def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, base_failed, p_good and kept of every row of ``docs``."""
-    voted = with_votes(statistics(docs))
+    voted = materialise(with_votes(statistics(docs)), "quality")
     counts = [
         (tuple(map(int, r.votes.split(","))), r["count"]) for r in voted.groupBy("votes").count().orderBy("votes").collect()
     ]  # at most 3 ** len(RULES) rows
