@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, pieces, quality, sharding
+from millrace.llm import chat, mixing, pieces, quality, sharding
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 9))
+
+
 QUERIES: dict[str, Query] = {
+    "op10_mixing": op10_mixing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
