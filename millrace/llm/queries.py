@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, pieces, quality, sharding
+from millrace.llm import chat, mixing, pieces, quality, sharding, topk
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("p", F.round("p", 9))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.weighted(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows.where("id % 50 = 0"), rows, k=5)
+
+
+OP1_SQL = """
+WITH w AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM w q JOIN w c ON q.id % 50 = 0 AND q.id <> c.id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op1_topk": op1_topk,
     "op10_mixing": op10_mixing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
@@ -81,4 +103,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows_ GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
+SQL: dict[str, str] = {"op1_topk": OP1_SQL, "op9_chat_formatting": OP9_SQL}
