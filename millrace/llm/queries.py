@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, pieces, quality, sharding, topk
+from millrace.llm import chat, language, mixing, pieces, quality, sharding, topk
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~language.held_out()))
+    done = language.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op1_topk": op1_topk,
     "op10_mixing": op10_mixing,
     "op6_sentencepiece": op6_sentencepiece,
