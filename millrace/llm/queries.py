@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, mixing, pieces, quality, sharding, topk
+from millrace.llm import chat, language, mixing, neardup, pieces, quality, sharding, topk
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op2_language_id": op2_language_id,
     "op1_topk": op1_topk,
     "op10_mixing": op10_mixing,
