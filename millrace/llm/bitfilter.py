@@ -1,56 +1,76 @@
-"""A filter of fixed size over 64-bit hashes: no false negatives, few false positives.
+"""A filter of bounded size over 64-bit hashes: no false negatives, few false positives.
 
-Its size is a parameter, never a function of the data, so it can be broadcast.
-Where it fills up, more rows pass it; an exact join after it decides.
+Its size is a parameter with a bound, so it can be broadcast whatever the data.
+Where it fills up, more rows pass it; what comes after it decides exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Default size: 2 ** 28 bits are 32 MB.
-BITS = 28
-BLOCK = 20
+from millrace.llm.textkit import mix64
 
+#: Largest size: 2 ** 30 bits are 128 MB.
+MOST_BITS = 30
+LEAST_BITS = 20
+PROBES = 4
+#: Bits that one task fills at a time.
+BLOCK = 18
 
-def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each hash."""
+
+def size_for(n: int) -> int:
+    """Bits (as a power of two) that keep false positives near 0.1 % for n hashes, within the bound."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n) * 16))))
+
+
+def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     h = h.view(np.uint64)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+    for k in range(PROBES):
+        yield (mix64(h + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def build(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter of the single long column of ``hashes``: each block of bits is filled by one task, then sent to the driver."""
-    (name,) = hashes.columns
-    h = F.col(name)
-    places = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(F.lit((1 << bits) - 1))))
-    rows = hashes.select(places.alias("at")).withColumn("block", F.shiftright("at", BLOCK))
+def build(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The filter of the single long column of ``hashes``, filled by blocks in parallel; 2 ** bits bits reach the driver."""
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                at = np.unique(np.concatenate(list(places(b.column(0).to_numpy(), bits)) or [np.zeros(0, np.int64)]))
+                of = at >> BLOCK
+                blocks, first = np.unique(of, return_index=True)
+                inside = (at & ((1 << BLOCK) - 1)).astype(np.uint32)
+                parts = [x.tobytes() for x in np.split(inside, first[1:])] if len(blocks) else []
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "inside"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            at = b.column(0).to_numpy()
-            of = at >> BLOCK
-            for block in np.unique(of).tolist():
-                held.setdefault(block, np.zeros(1 << BLOCK, bool))[at[of == block] & ((1 << BLOCK) - 1)] = True
+            for block, inside in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(block, np.zeros(1 << BLOCK, bool))[np.frombuffer(inside, np.uint32)] = True
         for block, seen in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["block", "bits"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (BLOCK - 3)
-    for r in rows.repartition("block").select("at").mapInArrow(fill, "block long, bits binary").toLocalIterator():
+    parts = hashes.mapInArrow(scatter, "block long, inside binary").repartition("block").mapInArrow(fill, "block long, bits binary")
+    for r in parts.collect():
         out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def passes(filled: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray:
+def passes(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be one of those the filter was built from."""
-    ok = np.ones(len(h), bool)
-    for at in positions(h, bits):
-        ok &= (filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-    return ok
+    bits = int(math.log2(len(filled))) + 3
+    left = np.arange(len(h))
+    with np.errstate(over="ignore"):
+        for k in range(PROBES):
+            at = (mix64(h[left].view(np.uint64) + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
+            left = left[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out

@@ -24,7 +24,7 @@ pairs of a bucket are verified or of one component. No group is collected and
 no pair inside a component is made, so copies cost one link each.
 
 A text set isn't shuffled: the sets of the few candidates are made in a second
-pass over the documents, picked by a filter of fixed size.
+pass over the documents, picked by a filter of bounded size.
 
 Defined results: documents without a word (null, empty, white space) are copies
 of each other; one with fewer than five words has one run, of all its words.
@@ -51,8 +51,6 @@ from millrace.session import cut, materialise
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-#: Bits of the filter that picks the candidates' texts (2 ** 26 bits are 8 MB).
-FILTER_BITS = 26
 #: Inverse distribution function of the number of darts in a cell.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _C = seeded(7, 8)
@@ -142,12 +140,12 @@ def signed(docs: DataFrame, run: int, weight: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, run: int) -> DataFrame:
     """id, runs (hashes, with their occurrences) of the documents whose id is in ``ids``, and of few others."""
-    picked = bitfilter.build(ids.select(F.xxhash64("id").alias("h")), FILTER_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(picked)  # 2 ** FILTER_BITS bits
+    picked = bitfilter.build(ids.select(F.xxhash64("id").alias("h")), bitfilter.size_for(ids.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(picked)  # 2 ** bitfilter.MOST_BITS bits at most
 
     def go(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            b = b.filter(pa.array(bitfilter.passes(shared.value, b.column(2).to_numpy(), FILTER_BITS)))
+            b = b.filter(pa.array(bitfilter.passes(shared.value, b.column(2).to_numpy())))
             at = 0
             for _, texts in batches((t or "" for t in b.column(1).to_pylist()), 256):
                 owner, h, times = elements(texts, run)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, mixing, neardup, pieces, quality, sharding, topk
+from millrace.llm import chat, language, mixing, neardup, pieces, quality, sharding, substrings, topk
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op2_language_id": op2_language_id,
     "op1_topk": op1_topk,
