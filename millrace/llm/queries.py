@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, mixing, neardup, pieces, quality, sharding, substrings, topk
+from millrace.llm import chat, language, mixing, neardup, pieces, quality, secrets, sharding, substrings, topk
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +94,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        of("crf").alias("n_crf"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op4_secrets": op4_secrets,
     "op5_substring_dedup": op5_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op2_language_id": op2_language_id,
