@@ -147,29 +147,59 @@ def _raked_frame(counts: DataFrame, axes: tuple[str, ...], targets: Marginals |
     return w.select(*axes, F.least(F.lit(1.0), ratio * c).alias("p"))
 
 
+def chances(
+    rows: DataFrame, names: tuple[str, ...], targets: Marginals | None, keep: float, max_cells: int, frame_sweeps: int,
+) -> DataFrame:
+    """The axes and p of each cell; a broadcast is asked for where their number has been checked."""
+    counts = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    found = counts.limit(max_cells + 1).collect()
+    if len(found) > max_cells:
+        return _raked_frame(cut(counts), names, targets, keep, frame_sweeps)
+    table = {tuple(r[a] for a in names): float(r.tokens) for r in found}
+    sums: Marginals = {a: defaultdict(float) for a in names}
+    for k, x in sorted(table.items()):
+        for a, v in zip(names, k, strict=True):
+            sums[a][v] += x
+    p = probabilities(table, rake(table, names, flattened(sums) | (targets or {})), keep)
+    kinds = ", ".join(f"{a} string" for a in names) + ", p double"
+    return F.broadcast(rows.sparkSession.createDataFrame([(*k, x) for k, x in p.items()], kinds))
+
+
+def drawn(seed: int) -> Column:
+    """A number in [0, 1) from doc_id and seed."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def default_axes() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+
+
 def mix(
     docs: DataFrame, targets: Marginals | None = None, keep: float = KEEP, seed: int = 0,
-    weight: Column | None = None, axes: dict[str, Column] | None = None, max_cells: int = MAX_CELLS, frame_sweeps: int = FRAME_SWEEPS,
+    weight: Column | None = None, axes: dict[str, Column] | None = None,
+    max_cells: int = MAX_CELLS, frame_sweeps: int = FRAME_SWEEPS,
 ) -> DataFrame:
     """doc_id, axes, tokens, p (inclusion probability) and kept of every row of ``docs``."""
-    axes = axes or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+    axes = axes or default_axes()
     names = tuple(axes)
     rows = cells(docs, tokens() if weight is None else weight, axes)
-    counts = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    found = counts.limit(max_cells + 1).collect()
-    if len(found) <= max_cells:
-        table = {tuple(r[a] for a in names): float(r.tokens) for r in found}
-        sums: Marginals = {a: defaultdict(float) for a in names}
-        for k, x in sorted(table.items()):
-            for a, v in zip(names, k, strict=True):
-                sums[a][v] += x
-        goals = flattened(sums) | (targets or {})
-        p = probabilities(table, rake(table, names, goals), keep)
-        chance = docs.sparkSession.createDataFrame([(*k, x) for k, x in p.items()], ", ".join(f"{a} string" for a in names) + ", p double")
-        chance = F.broadcast(chance)  # at most MAX_CELLS rows
-    else:
-        chance = _raked_frame(cut(counts), names, targets, keep, frame_sweeps)
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    out = rows.join(chance, list(names), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    out = rows.join(chances(rows, names, targets, keep, max_cells, frame_sweeps), list(names), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     back = [F.when(F.col(a) != NONE, F.col(a)).alias(a) for a in names]
-    return out.select("doc_id", *back, "tokens", "p", (draw < F.col("p")).alias("kept"))
+    return out.select("doc_id", *back, "tokens", "p", (drawn(seed) < F.col("p")).alias("kept"))
+
+
+def sample(
+    docs: DataFrame, targets: Marginals | None = None, keep: float = KEEP, seed: int = 0,
+    weight: Column | None = None, axes: dict[str, Column] | None = None,
+    max_cells: int = MAX_CELLS, frame_sweeps: int = FRAME_SWEEPS,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, texts and all; where cells are few, the texts stay where they are."""
+    axes = axes or default_axes()
+    inner = {f"__axis_{n}": e for n, e in enumerate(axes.values())}
+    counted = cells(docs, tokens() if weight is None else weight, axes)
+    p = chances(counted, tuple(axes), targets, keep, max_cells, frame_sweeps)
+    for name, axis in zip(inner, axes, strict=True):
+        p = p.withColumnRenamed(axis, name)
+    keyed = docs.withColumns({name: F.coalesce(e.cast("string"), F.lit(NONE)) for name, e in inner.items()})
+    return keyed.join(p.withColumnRenamed("p", "__p"), list(inner)).where(drawn(seed) < F.col("__p")).select(*docs.columns)

@@ -31,6 +31,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -224,24 +226,25 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _mapped(docs: DataFrame, schema: str, row, path: str | None) -> DataFrame:
-    """doc_id and what ``row(segments)`` makes of the text, one output batch an input batch."""
+def _mapped(docs: DataFrame, new: dict[str, tuple[str, pa.DataType]], row, path: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep and what ``row(segments)`` makes of the text."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+    docs = docs.select(F.col("doc_id").cast("long"), *keep, "text")
+    held = StructType(docs.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                rows = [row(c.segments(t or "")) for t in part.column(1).to_pylist()]
-                cols = list(zip(*rows, strict=True)) or [[] for _ in types[1:]]
-                arrays = [part.column(0).cast(pa.int64()), *(pa.array(v, t) for v, t in zip(cols, types[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                rows = [row(c.segments(t or "")) for t in part.column(part.num_columns - 1).to_pylist()]
+                cols = list(zip(*rows, strict=True)) or [[] for _ in new]
+                arrays = [*part.columns[:-1], *(pa.array(v, t) for v, (_, t) in zip(cols, new.values(), strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, [*held.names, *new])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    kinds = [f"{name} {kind}" for name, (kind, _) in new.items()]
+    schema = StructType([*held.fields, *StructType.fromDDL(", ".join(kinds)).fields])
+    return docs.mapInArrow(run, schema)
 
 
 def _ids(segments: list[tuple[str, str]]) -> list[int]:
@@ -259,11 +262,13 @@ def _digest(segments: list[tuple[str, str]]) -> tuple:
     return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded of each row."""
-    return _mapped(docs, "doc_id long, ids array<int>, decoded string", _real, path)
+def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, ids, decoded of each row."""
+    new = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    return _mapped(docs, new, _real, path, keep)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: ``encode_documents`` with its outputs hashed where they are made."""
-    return _mapped(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digest, path)
+    text = ("string", pa.string())
+    return _mapped(docs, {"n_tokens": ("long", pa.int64()), "ids_sha256": text, "decoded_sha256": text}, _digest, path)
