@@ -59,12 +59,15 @@ def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(spaced, "[^\\x00-\\x7F\\u3000-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uFF00-\\uFFEF]", "")
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, for which Spark has no function."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC, for which Spark has no function: an Arrow-batched pandas UDF."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def search_terms(query: str, most: int = 6) -> list[str]:
     """Lower-case NFKC terms of two characters or more; wildcards act as spaces."""
     plain = unicodedata.normalize("NFKC", query.lower()).replace("%", " ").replace("_", " ")

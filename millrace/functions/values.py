@@ -84,9 +84,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(unit(a), unit(b))
 
 
+def scaled(a: Column, by: float) -> Column:
+    return F.transform(a, lambda x: x * by)
+
+
 def fused(blocks: list[tuple[Column, float]]) -> Column:
     """Blocks normalised one by one, weighted and concatenated."""
-    return F.concat(*[F.transform(unit(b, 1e-12), lambda x, w=w: x * w) for b, w in blocks])
+    return F.concat(*[scaled(unit(b, 1e-12), w) for b, w in blocks])
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
