@@ -169,3 +169,29 @@ def test_layers_ids_counts(spark, tmp_path):
 def test_kmeans_labels_by_size():
     x = np.array([[0.0], [0.1], [0.2], [9.0], [9.1]])
     assert clusters.lloyd(x, 2).tolist() == [0, 0, 0, 1, 1]
+
+
+def test_matching_is_optimal():
+    from itertools import permutations
+
+    from millrace.operators import layout
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 5), (5, 5), (4, 6)):
+        cost = rng.random((n, m))
+        got = layout.matching(cost)
+        assert len(set(got.tolist())) == n
+        best = min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(m), n))
+        assert cost[np.arange(n), got].sum() == pytest.approx(best)
+
+
+def test_parcels_and_outlines():
+    from millrace.operators import layout
+
+    parts = layout.subdivide(np.array([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)]), 1.1)
+    assert len(parts) == 8 and all(layout.shoelace(p) == pytest.approx(1.0) for p in parts)
+    ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
+    got = layout.boundary_rings(ring)
+    assert sorted(len(r) for r in got) == [4, 4]
+    x = np.array([(0.0, 0.0), (0.5, 0.0), (2.0, 0.0), (2.1, 0.0)])
+    assert layout.thinned(x, np.array([1.0, 5.0, 1.0, 1.0]), 1.0).tolist() == [1, 2]
