@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import layout as L
+from millrace.operators import raster as R
 from millrace.operators import spatial as S
 from millrace.plans.registry import query
 from millrace.plans.vectors import E_SQL, points
@@ -57,3 +58,35 @@ def building_quads(spark: SparkSession, d: str) -> DataFrame:
     b = spark.range(50).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("id") * 0.1).alias("angle"), (1 + F.col("id") % 5).cast("double").alias("w"), F.lit(2.0).alias("h"))
     m = b.withColumn("ring", L.quad("x", "y", "angle", "w", "h")).withColumn("m", S.measures(F.col("ring")))
     return m.select("id", F.round("m.area", 6).alias("area"))
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed density of each label's points."""
+    p = points(spark, d)
+    n = p.groupBy("label", S.cell(F.col("y"), 0.05).alias("row"), S.cell(F.col("x"), 0.05).alias("col")).agg(F.count("*").alias("n"))
+    moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(w).alias("w")) for r, c, w in S.gaussian(0.7)])
+    m = n.withColumn("m", F.explode(moves))
+    return m.groupBy("label", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col")).agg(F.round(F.sum(F.col("n") * F.col("m.w")), 9).alias("value"))
+
+
+@query()
+def density_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return R.peaks_by_tile(_tiles(spark, d), "label", "value", 3.0, 0.3)
+
+
+@query()
+def drained_cells(spark: SparkSession, d: str) -> DataFrame:
+    return R.flow_by_tile(_tiles(spark, d), "label", "value")
+
+
+@query()
+def cheapest_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Paths between the two highest peaks of each label, cheap where it is dense."""
+    tiles = _tiles(spark, d)
+    top = R.peaks_by_tile(tiles, "label", "value", 3.0, 0.0)
+    first = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), "row", "col")))
+    ends = top.groupBy("label").agg(first.alias("t")).where("size(t) > 1")
+    at = lambda i, c: F.get("t", F.lit(i))[c]
+    pairs = ends.select("label", F.lit(0).cast("long").alias("pair"), at(0, "row").alias("r1"), at(0, "col").alias("c1"), at(1, "row").alias("r2"), at(1, "col").alias("c2"))
+    cost = tiles.withColumn("cost", 1 / (0.1 + F.col("value")))
+    return R.routes(cost, pairs, "label", "cost").withColumn("length", F.round("length", 6))

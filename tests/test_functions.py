@@ -195,3 +195,17 @@ def test_parcels_and_outlines():
     assert sorted(len(r) for r in got) == [4, 4]
     x = np.array([(0.0, 0.0), (0.5, 0.0), (2.0, 0.0), (2.1, 0.0)])
     assert layout.thinned(x, np.array([1.0, 5.0, 1.0, 1.0]), 1.0).tolist() == [1, 2]
+
+
+def test_rasters():
+    from millrace.operators import raster
+
+    h = np.array([[3.0, 3.0, 3.0], [2.0, 1.0, 2.0], [3.0, 0.0, 3.0]])
+    f = raster.flow(h)
+    assert f[2, 1] == 9.0 and f[0, 0] == 1.0
+    wall = np.ones((5, 5))
+    wall[2, :4] = np.inf
+    d, path = raster.least_path(wall, (0, 0), (4, 0))
+    assert path[0] == (0, 0) and path[-1] == (4, 0) and (2, 4) in path and d == pytest.approx(2 * (2 * 2**0.5 + 2))
+    assert raster.least_path(np.array([[1.0, np.inf, 1.0]]), (0, 0), (0, 2)) == (float("inf"), [])
+    assert raster.peaks(np.array([[5.0, 1.0, 4.0, 0.0, 0.0, 3.0]]), 3.0, 0.5) == [(0, 0), (0, 5)]
