@@ -16,12 +16,15 @@ By default every distinct run weighs 1 (Jaccard similarity of sets of runs);
 Join. Documents with the same text are one from the start (the smallest doc_id
 stands for them, counted map-side). The rest meet in buckets, one a band. A pair
 with similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
-In a bucket all members are held against its first member; candidates are
-verified exactly on their sets of runs, and links give components. Buckets
-whose members are still of several components go on: the next one, two, four,
-... members are held against the later members of other components, until all
-pairs of a bucket are verified or of one component. No group is collected and
-no pair inside a component is made, so copies cost one link each.
+In a bucket all members are held against its most central one, the document that
+meets the most others over all buckets (for copies of one original that is most
+like the original, even where the copies are less like each other); candidates
+are verified exactly on their sets of runs, and links give components. Buckets
+whose members are of several components after that are cut into blocks, and the
+members of each two blocks are compared exactly, by products of their incidence
+matrices; one link between two components is enough. So each pair that shares a
+bucket is verified, or of one component anyway, and pairs are rows only in the
+star around the central member.
 
 A text set isn't shuffled: the sets of the few candidates are made in a second
 pass over the documents, picked by a filter of bounded size.
@@ -45,12 +48,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bitfilter
-from millrace.llm.textkit import Words, batches, combine, mix64, seeded
+from millrace.llm.textkit import Words, batches, combine, mix64, seeded, sent_in_parts
 from millrace.session import cut, materialise
 
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+#: Members of a block, and columns of one product, where a bucket is compared block by block.
+BLOCK, COLUMNS = 256, 4096
 #: Inverse distribution function of the number of darts in a cell.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _C = seeded(7, 8)
@@ -135,11 +140,11 @@ def signed(docs: DataFrame, run: int, weight: str) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, same binary, keys array<long>")
+    return sent_in_parts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, same binary, keys array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, run: int) -> DataFrame:
-    """id, runs (hashes, with their occurrences) of the documents whose id is in ``ids``, and of few others."""
+def sets_of(docs: DataFrame, ids: DataFrame, run: int, weight: str) -> DataFrame:
+    """id, runs of the documents whose id is in ``ids``, and of few others; counted runs are numbered, so sets do for both weights."""
     picked = bitfilter.build(ids.select(F.xxhash64("id").alias("h")), bitfilter.size_for(ids.count()))
     shared = docs.sparkSession.sparkContext.broadcast(picked)  # 2 ** bitfilter.MOST_BITS bits at most
 
@@ -149,40 +154,97 @@ def sets_of(docs: DataFrame, ids: DataFrame, run: int) -> DataFrame:
             at = 0
             for _, texts in batches((t or "" for t in b.column(1).to_pylist()), 256):
                 owner, h, times = elements(texts, run)
+                if weight == "count":
+                    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    with np.errstate(over="ignore"):
+                        owner, h = np.repeat(owner, times), mix64(np.repeat(h, times) + nth.astype(np.uint64) * _C[5])
                 order = np.argsort(owner, kind="stable")
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(at, len(texts)),
-                        pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64), pa.int64())),
-                        pa.ListArray.from_arrays(offsets, pa.array(times[order].astype(np.int32), pa.int32())),
-                    ],
-                    ["id", "runs", "times"],
-                )
+                runs = pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), runs], ["id", "runs"])
                 at += len(texts)
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(go, "id long, runs array<long>, times array<int>")
+    rows = sent_in_parts(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(go, "id long, runs array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, weight: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least so similar; first met on a, which may be in many pairs."""
-    x = sets.select(F.col("id").alias("a"), F.col("runs").alias("x"), F.col("times").alias("xt"))
-    y = sets.select(F.col("id").alias("b"), F.col("runs").alias("y"), F.col("times").alias("yt"))
+    x = sets.select(F.col("id").alias("a"), F.col("runs").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("runs").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    whole = F.size("x") + F.size("y") - common
     both = pairs.join(x, "a").join(y, "b")
-    if weight == "set":
-        common = F.size(F.array_intersect("x", "y"))
-        whole = F.size("x") + F.size("y") - common
-    else:
-        total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-        yt = F.map_from_arrays("y", "yt")
-        common = F.aggregate(
-            F.arrays_zip("x", "xt"), F.lit(0), lambda s, z: s + F.least(z["xt"], F.coalesce(F.try_element_at(yt, z["x"]), F.lit(0)))
-        )
-        whole = total("xt") + total("yt") - common
     return both.where((whole > 0) & (common >= F.lit(similarity) * whole)).select("a", "b").distinct()
 
 
+def common_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a block, by products of slices of their incidence matrix."""
+    size = np.array([len(r) for r in runs])
+    kinds, place, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(runs)), size)
+    some = times[place] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[some], number[place[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(runs), len(runs)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(runs), COLUMNS), np.float32)
+        m[row[i:j], column[i:j] - at] = 1
+        out += m @ m.T
+    out[np.arange(len(runs)), np.arange(len(runs))] = size
+    return out
+
+
+def block_links(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket with other labels, one for two labels and block.
+
+    A bucket is cut into blocks of ``BLOCK`` members, and each two blocks meet in
+    a place of their own, so a task holds two blocks whatever the bucket; no pair
+    becomes a row unless it is a link.
+    """
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
+    cut_up = mixed.withColumn("block", F.floor(nth / BLOCK).cast("int"))
+    blocks = cut_up.groupBy("key").agg((F.max("block") + 1).alias("n"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    met = cut_up.join(blocks, "key").withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "label")
+    rows = met.join(sets, "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "id", "label", "runs")
+
+    def links(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        label = np.array([x[1] for x in held])
+        if (label == label[0]).all():
+            return []
+        common = common_runs([x[2] for x in held])
+        size = np.diag(common)
+        ok = (common >= similarity * (size[:, None] + size[None, :] - common)) & (label[:, None] < label[None, :]) & (common > 0)
+        i, j = np.nonzero(ok)
+        found = {(int(label[x]), int(label[y])): (held[x][0], held[y][0]) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+        return list(found.values())
+
+    def go(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        at, out = None, []
+        for b in batches_in:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                places = list(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True))
+                ids, labels = part.column(3).to_pylist(), part.column(4).to_pylist()
+                for k, place in enumerate(places):
+                    if place != at:
+                        out += links(held) if held else []
+                        held, at = [], place
+                    held.append((ids[k], labels[k], part.column(5)[k].values.to_numpy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                out = []
+        out = links(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(go, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label (smallest id of its component) of every end of the links (a, b), by alternating large and small stars."""
     state = None
@@ -207,27 +269,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, run: int =
     copies = sig.groupBy("same").agg(F.min("doc_id").alias("id"))
     reps = sig.select("doc_id", "keys").join(copies.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    members = materialise(rows.join(shared, "key"), "dart-buckets")
-    pairs = cut(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    sets = materialise(sets_of(docs, members.select("id").distinct(), run), "dart-sets")
-    labels = components(verified(pairs, sets, similarity, weight))
-    order = Window.partitionBy("key").orderBy("id")
-    left, done = members.select("key", "id"), 1
-    while True:
-        known = left.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi AND n > {done}")
-        left = known.join(mixed.select("key"), "key", "left_semi")
-        left = cut(left if "nth" in left.columns else left.withColumn("nth", F.row_number().over(order)))
-        if left.isEmpty():
-            break
-        lead = left.where(F.col("nth").between(done + 1, 2 * done)).select("key", F.col("id").alias("a"), F.col("nth").alias("an"), F.col("label").alias("al"))
-        more = cut(
-            lead.join(left, "key").where("nth > an AND label <> al")
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        )
-        pairs, done = pairs.union(more), 2 * done
-        found = verified(more, sets, similarity, weight)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(rows.join(shared, "key"), "dart-buckets")
+    members = met.select("key", "id").join(met.groupBy("id").agg(F.sum("n").alias("c")), "id")
+    first = members.groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("f"))
+    pairs = cut(
+        met.select("key", "id").join(first.select("key", (-F.col("f.m")).alias("first")), "key")
+        .where("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
+    )
+    sets = materialise(sets_of(docs, met.select("id").distinct(), run, weight), "dart-sets")
+    labels = components(verified(pairs, sets, similarity))
+    known = met.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    found = cut(block_links(known.join(mixed.select("key"), "key", "left_semi"), sets, similarity))
+    if not found.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found))
     known = copies.join(labels, "id", "left").select("same", F.coalesce("label", "id").alias("class_id"))
     # the few columns of each document meet its text's class; a hot text is split by the skew join

@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 #: Characters of one numpy batch; a longer text is a batch of its own.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
+#: Rows that a Python worker is sent at once.
+ARROW_ROWS = 1000
+
+
+def sent_in_parts(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches held to ``ARROW_ROWS``, as whole texts are large rows."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return docs
 
 
 def batches(texts: Iterable[str], most_rows: int = 1024, most_chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
