@@ -31,7 +31,7 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     return own.join(near, ["cx", "cy"]).where(F.col("a") < F.col("id")).withColumn("w", d).where(F.col("w") <= radius).select("a", F.col("id").alias("b"), "w")
 
 
-def nearest(points: DataFrame, k: int, size: float, grow: float = 2.0, rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, k: int, size: float, grow: float = 3.0, rounds: int = 9) -> DataFrame:
     """id, other, w, rank: the k nearest others of each point.
 
     Points look in a grid that is refined where it is enough: those with k

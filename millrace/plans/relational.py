@@ -342,11 +342,11 @@ def run_starts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("user_id").agg(F.count_if(F.col("bad") & ~F.col("was")).alias("n_runs"))
 
 
-@query("""SELECT o_orderkey, array_to_string(list(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), ',') AS seen FROM orders WHERE o_custkey < 200""")
+@query("""SELECT o_orderkey, array_to_string(list(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), ',') AS seen FROM orders""")
 def last_twelve_seen(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-12, -1)
     seen = F.collect_list("o_orderstatus").over(w)
-    return t(spark, d, "orders").where("o_custkey < 200").select("o_orderkey", F.when(F.size(seen) > 0, F.array_join(seen, ",")).alias("seen"))
+    return t(spark, d, "orders").select("o_orderkey", F.when(F.size(seen) > 0, F.array_join(seen, ",")).alias("seen"))
 
 
 @query("""SELECT c_nationkey, c_custkey, round((c_acctbal - min(c_acctbal) OVER w) / nullif(max(c_acctbal) OVER w - min(c_acctbal) OVER w, 0), 6) AS scaled FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")

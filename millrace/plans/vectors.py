@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.functions import values as V
 from millrace.operators import clusters as C
 from millrace.operators import graphs as G
+from millrace.operators import ranking as R
 from millrace.operators import spatial as S
 from millrace.plans.registry import query
 from millrace.session import table as t
@@ -87,13 +88,14 @@ def density_pressure(spark: SparkSession, d: str) -> DataFrame:
     return o.agg(F.round(q("w", 0.5), 9).alias("q50"), F.round(q("w", 0.99), 9).alias("q99"), F.round(F.min("w"), 9).alias("low"), F.round(q("r", 0.99) / q("r", 0.5), 6).alias("pressure"))
 
 
-@query(f"""WITH {E_SQL}, {NEAR}, hi AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product({UNIT.format('a.v')}, {UNIT.format('b.v')}), 9) DESC, b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 10 = 0)
+@query(f"""WITH {E_SQL}, {NEAR}, hi AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product({UNIT.format('a.v')}, {UNIT.format('b.v')}), 9) DESC, b.id) AS rank
+ FROM (SELECT * FROM e ORDER BY md5('recall|' || CAST(id AS VARCHAR)), id LIMIT 60) a JOIN e b ON a.id <> b.id)
 SELECT hi.id, CAST(count(nn.other) AS BIGINT) AS common FROM hi LEFT JOIN nn ON nn.id = hi.id AND nn.other = hi.other AND nn.rank <= 10 WHERE hi.rank <= 10 GROUP BY hi.id""")
 def knn_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours that the map keeps of those in full space, for a stated tenth of the points as queries."""
+    """Neighbours that the map keeps of those in full space, for a seeded sample of 60 points."""
     v = vectors(spark, d).select("id", V.unit(F.col("v")).alias("u"))
-    q = v.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("u").alias("qu"), F.lit(0).alias("one"))
-    s = q.join(v.withColumn("one", F.lit(0)), "one").where("q <> id").withColumn("s", F.round(V.dot(F.col("qu"), F.col("u")), 9))
+    some = R.sample_rows(v, 60, "id", salt="recall").agg(F.collect_list(F.struct(F.col("id").alias("q"), F.col("u").alias("qu"))).alias("some"))
+    s = v.join(F.broadcast(some)).select("id", "u", F.inline("some")).where("q <> id").withColumn("s", F.round(V.dot(F.col("qu"), F.col("u")), 9))
     high = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("r <= 10").groupBy("q").agg(F.collect_set("id").alias("hi"))
     low = S.nearest(points(spark, d), 10, 0.05).groupBy(F.col("id").alias("q")).agg(F.collect_set("other").alias("lo"))
     return high.join(low, "q").select(F.col("q").alias("id"), F.size(F.array_intersect("hi", "lo")).cast("long").alias("common"))
