@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.textkit import batches
+from millrace.llm.textkit import batches, sent_in_parts
 
 DIM = 512
 SEED = 20_240_601
@@ -153,7 +153,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     sums = (
-        known.select("lang", "text").mapInArrow(part, "lang string, v array<long>")
+        sent_in_parts(known).select("lang", "text").mapInArrow(part, "lang string, v array<long>")
         .select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     )
     got = sums.limit(MAX_LANGUAGES * DIM + 1).collect()
@@ -210,4 +210,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
                 yield pa.RecordBatch.from_arrays([*some.columns, *new], [*some.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return sent_in_parts(docs).mapInArrow(run, schema)

@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm.textkit import sent_in_parts
+
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments and pairs kept by a worker, and the longest segment that is kept.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 400_000, 500_000, 48
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 100_000, 200_000, 48
 #: Stands before the first piece of a segment (below the complement of any code point).
 NONE = -0x200000
 
@@ -244,7 +246,7 @@ def _mapped(docs: DataFrame, new: dict[str, tuple[str, pa.DataType]], row, path:
 
     kinds = [f"{name} {kind}" for name, (kind, _) in new.items()]
     schema = StructType([*held.fields, *StructType.fromDDL(", ".join(kinds)).fields])
-    return docs.mapInArrow(run, schema)
+    return sent_in_parts(docs).mapInArrow(run, schema)
 
 
 def _ids(segments: list[tuple[str, str]]) -> list[int]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.textkit import batches, mix64
+from millrace.llm.textkit import batches, mix64, sent_in_parts
 
 # The kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "crf")
@@ -318,7 +318,7 @@ def train(docs: DataFrame) -> Field | None:
                 [pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([y for _, y in out], pa.list_(pa.int32()))], ["bits", "tags"]
             )
 
-    got = sample.select("text").mapInArrow(go, "bits array<long>, tags array<int>").collect()
+    got = sent_in_parts(sample).select("text").mapInArrow(go, "bits array<long>, tags array<int>").collect()
     got = sorted((tuple(r.bits), tuple(r.tags)) for r in got)
     if not any(BEGIN in tags for _, tags in got):
         return None
@@ -369,7 +369,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 found += [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans] for spans in find(texts, shared.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return sent_in_parts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def listing(spans: list[tuple[int, int, int]]) -> str:
@@ -403,7 +403,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None
                 new += [None if held[first + i] is None else clean(t, f) if f else t for i, (t, f) in enumerate(zip(texts, found, strict=True))]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    done = docs.mapInArrow(go, StructType(docs.schema.fields))
+    done = sent_in_parts(docs).mapInArrow(go, StructType(docs.schema.fields))
     if StructField("n_chars", LongType()) in docs.schema.fields:
         done = done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return done

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bitfilter
-from millrace.llm.textkit import Words, batches, combine, mix64, seeded
+from millrace.llm.textkit import Words, batches, combine, mix64, seeded, sent_in_parts
 from millrace.session import materialise
 
 WINDOW, BLOCK = 20, 10
@@ -82,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 at += len(texts)
 
     schema = "doc_id long, same binary, n_words long, whole_sha256 string, blocks array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, schema)
+    return sent_in_parts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(go, schema)
 
 
 def hits(w: Words, index: np.ndarray, twice: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def windows_up(docs: DataFrame, reps: np.ndarray, index: np.ndarray, twice: np.n
                     ["a", "b", "doc_id", "pos", "again"],
                 )
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("doc_id"))
+    rows = sent_in_parts(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("doc_id"))
     return rows.mapInArrow(go, "a long, b int, doc_id long, pos int, again boolean")
 
 
