@@ -21,6 +21,8 @@ LEAST_BITS = 20
 PROBES = 4
 #: Bits that one task fills at a time.
 BLOCK = 18
+#: Hashes that a task packs together.
+GATHER = 1 << 19
 
 
 def size_for(n: int) -> int:
@@ -37,15 +39,25 @@ def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 def build(hashes: DataFrame, bits: int) -> np.ndarray:
     """The filter of the single long column of ``hashes``, filled by blocks in parallel; 2 ** bits bits reach the driver."""
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
-            for b in batches:
-                at = np.unique(np.concatenate(list(places(b.column(0).to_numpy(), bits)) or [np.zeros(0, np.int64)]))
-                of = at >> BLOCK
-                blocks, first = np.unique(of, return_index=True)
-                inside = (at & ((1 << BLOCK) - 1)).astype(np.uint32)
-                parts = [x.tobytes() for x in np.split(inside, first[1:])] if len(blocks) else []
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "inside"])
+            at = np.unique(np.concatenate(list(places(np.concatenate(held), bits))))
+        of = at >> BLOCK
+        blocks, first = np.unique(of, return_index=True)
+        inside = (at & ((1 << BLOCK) - 1)).astype(np.uint32)
+        parts = [x.tobytes() for x in np.split(inside, first[1:])] if len(blocks) else []
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "inside"])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one row a block for up to GATHER hashes of a task, not for each of its batches
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(b.column(0).to_numpy())
+            if sum(map(len, held)) >= GATHER:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
