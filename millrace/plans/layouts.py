@@ -32,7 +32,7 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
     lattice = box.withColumn("m", side).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") - 1)))
     at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i + 0.5) / F.col("m")
     slots = lattice.select("label", "slot", at("x0", "x1", F.col("slot") % F.col("m")).alias("x"), at("y0", "y1", F.floor(F.col("slot") / F.col("m"))).alias("y"))
-    return L.assign_slots(p, slots, "label", 80).withColumn("moved", F.round("moved", 9))
+    return L.assign_slots(p, slots, "label").withColumn("moved", F.round("moved", 9))
 
 
 @query(f"WITH {E_SQL}, b AS (SELECT label, (max(x) - min(x)) * (max(y) - min(y)) AS area FROM p GROUP BY label) SELECT label, round(area, 8) AS area FROM b")

@@ -185,6 +185,20 @@ def test_matching_is_optimal():
         assert cost[np.arange(n), got].sum() == pytest.approx(best)
 
 
+def test_slots_are_optimal_in_groups_of_hundreds(spark):
+    from millrace.operators import layout
+
+    x, y = np.random.default_rng(6).random((2, 250, 2))
+    rows = lambda a: [(0, i, float(p), float(q)) for i, (p, q) in enumerate(a)]
+    points = spark.createDataFrame(rows(x), "label int, id long, x double, y double")
+    slots = spark.createDataFrame(rows(y), "label int, slot long, x double, y double")
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    best = d[np.arange(250), layout.matching(d)].sum()
+    assert best < 0.95 * d[np.arange(250), layout.greedy_matching(d)].sum()
+    got = layout.assign_slots(points, slots, "label").collect()
+    assert len({r.slot for r in got}) == 250 and sum(r.moved for r in got) == pytest.approx(best)
+
+
 def test_parcels_and_outlines():
     from millrace.operators import layout
 
