@@ -187,11 +187,11 @@ def relax_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Two levels below each label: sizes decide how many children."""
-    v = vectors(spark, d).withColumn("f", F.slice("v", 1, 8))
-    one = C.subdivide(v, "label", "id", "f", 40, 10, 6)
+    """Two levels below each label, clustered on all components of the vectors: sizes decide how many children."""
+    v = vectors(spark, d)
+    one = C.subdivide(v, "label", "id", "v", 40, 10, 6)
     two = v.join(one, ["label", "id"]).withColumn("parent", F.concat_ws("/", "label", "child"))
-    return C.subdivide(two, "parent", "id", "f", 12, 4, 4)
+    return C.subdivide(two, "parent", "id", "v", 12, 4, 4)
 
 
 SQUARES = "s AS (SELECT i * 10 + j AS poly, -0.5 + i * 0.1 AS x0, -0.5 + j * 0.1 AS y0 FROM range(0, 10) a(i), range(0, 10) b(j))"

@@ -171,6 +171,17 @@ def test_kmeans_labels_by_size():
     assert clusters.lloyd(x, 2).tolist() == [0, 0, 0, 1, 1]
 
 
+def test_kmeans_hierarchy_uses_all_components(spark, tmp_path):
+    from millrace.plans.vectors import kmeans_hierarchy
+
+    rows = [(i, 0, [0.0] * 63 + [100.0 * (i % 2) + i / 1000]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    side: dict[str, set[int]] = {}
+    for r in kmeans_hierarchy(spark, str(tmp_path)).collect():
+        side.setdefault(r.parent, set()).add(r.id % 2)
+    assert len(side) == 2 and all(len(s) == 1 for s in side.values())
+
+
 def test_matching_is_optimal():
     from itertools import permutations
 
