@@ -24,10 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    """One document of each near-duplicate class, the one with the smallest doc_id.
+
+    Rows with a null doc_id take no part in the classes and are kept, one of each text.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    found = neardup.near_duplicates(known.select("doc_id", "text"))
     first = found.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    unnamed = docs.where("doc_id IS NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*")
+    return known.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(unnamed.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,15 @@ def test_stages(spark, sf):
     assert stages["tokenise"](spark, docs, sf).count() == len(ROWS)
 
 
+def test_near_dedup_keeps_rows_without_id(spark, sf):
+    one, two, three = ("".join(f" {w}{i}" for i in range(60)) for w in ("red", "green", "blue"))
+    rows = [(1, one, "en", "a", 5), (2, one, "en", "b", 5), (None, two, "en", "a", 5), (None, two, "en", "a", 5), (None, three, "en", "a", 5), (None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, one), (None, two), (None, three), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, sf, name):
     c = duckdb.connect()
