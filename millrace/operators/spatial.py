@@ -5,6 +5,8 @@ Polygons are rings, ``array<struct<x, y>>``, not closed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,17 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return spread.withColumn("cy", F.explode(F.transform(step, lambda i: cell(F.col("y"), size) + i)))
 
 
-def pairs_within(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs a < b of (id, x, y) at most ``radius`` apart, with their distance: an equi-join on cells as wide as the radius."""
+def _near_pairs(points: DataFrame, radius: float) -> DataFrame:
+    """a, ax, ay, id, x, y, w of the pairs a < id at most ``radius`` apart."""
     own = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")).withColumns({"cx": cell(F.col("ax"), radius), "cy": cell(F.col("ay"), radius)})
     near = _around(points.select("id", "x", "y"), radius)
     d = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)
-    return own.join(near, ["cx", "cy"]).where(F.col("a") < F.col("id")).withColumn("w", d).where(F.col("w") <= radius).select("a", F.col("id").alias("b"), "w")
+    return own.join(near, ["cx", "cy"]).where(F.col("a") < F.col("id")).withColumn("w", d).where(F.col("w") <= radius)
+
+
+def pairs_within(points: DataFrame, radius: float) -> DataFrame:
+    """Pairs a < b of (id, x, y) at most ``radius`` apart, with their distance: an equi-join on cells as wide as the radius."""
+    return _near_pairs(points, radius).select("a", F.col("id").alias("b"), "w")
 
 
 def nearest(points: DataFrame, k: int, size: float, grow: float = 3.0, rounds: int = 9) -> DataFrame:
@@ -160,25 +167,33 @@ def closed(mask: DataFrame, radius: int) -> DataFrame:
     return eroded(dilated(mask, radius), radius)
 
 
-def relax(points: DataFrame, apart: float, strength: float = 0.5, steps: int = 8, spring: float = 0.0, longest: float | None = None) -> DataFrame:
-    """Push apart points that are closer than ``apart``, step by step; ends when none are. One equi-join and one sum a step."""
+def relax(points: DataFrame, apart: float, strength: float = 0.5, steps: int = 40, spring: float = 0.0, longest: float | None = None) -> DataFrame:
+    """Push apart points that are closer than ``apart``, step by step; ends when none are. One equi-join and one sum a step.
+
+    Points in the same place are pushed along an angle drawn from their ids.
+    """
     now = cut(points.select("id", "x", "y", F.col("x").alias("x0"), F.col("y").alias("y0")))
+    least = max(apart * 1e-6, 1e-12)
     for _ in range(steps):
-        close = pairs_within(now.select("id", "x", "y"), apart)
-        a = now.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-        b = now.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-        p = close.join(a, "a").join(b, "b").withColumn("f", (apart - F.col("w")) * strength / 2 / F.greatest(F.col("w"), F.lit(1e-12)))
+        angle = F.pmod(F.xxhash64("a", "id"), F.lit(1 << 20)) * (2 * math.pi / (1 << 20))
+        same = F.col("w") < least
+        p = _near_pairs(now, apart).where(F.col("w") < apart).withColumns({
+            "dx": F.when(same, F.cos(angle) * least).otherwise(F.col("ax") - F.col("x")),
+            "dy": F.when(same, F.sin(angle) * least).otherwise(F.col("ay") - F.col("y")),
+            "f": (apart - F.col("w")) * strength / 2 / F.greatest("w", F.lit(least)),
+        })
         push = p.select(F.inline(F.array(
-            F.struct(F.col("a").alias("id"), ((F.col("ax") - F.col("bx")) * F.col("f")).alias("mx"), ((F.col("ay") - F.col("by")) * F.col("f")).alias("my")),
-            F.struct(F.col("b").alias("id"), ((F.col("bx") - F.col("ax")) * F.col("f")).alias("mx"), ((F.col("by") - F.col("ay")) * F.col("f")).alias("my")),
+            F.struct(F.col("a").alias("id"), (F.col("dx") * F.col("f")).alias("mx"), (F.col("dy") * F.col("f")).alias("my")),
+            F.struct("id", (-F.col("dx") * F.col("f")).alias("mx"), (-F.col("dy") * F.col("f")).alias("my")),
         ))).groupBy("id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
         move = lambda c, m: F.col(c) + F.coalesce(m, F.lit(0.0)) + spring * (F.col(c + "0") - F.col(c))
-        moved = now.join(push, "id", "left").select("id", move("x", F.col("mx")).alias("x"), move("y", F.col("my")).alias("y"), "x0", "y0")
+        moved = now.join(push, "id", "left").select("id", move("x", F.col("mx")).alias("x"), move("y", F.col("my")).alias("y"), "x0", "y0", F.isnotnull("mx").alias("close"))
         if longest is not None:
             d = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
             held = F.least(F.lit(1.0), longest / F.greatest(d, F.lit(1e-12)))
             moved = moved.withColumns({c: F.col(c + "0") + (F.col(c) - F.col(c + "0")) * held for c in ("x", "y")})
-        now = cut(moved)
-        if close.isEmpty():
+        moved = cut(moved)
+        if moved.where("close").isEmpty():
             break
+        now = moved.drop("close")
     return now

@@ -182,7 +182,7 @@ def beta_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def relax_points(spark: SparkSession, d: str) -> DataFrame:
-    return S.relax(points(spark, d), 0.01, steps=3, spring=0.05, longest=0.02).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return S.relax(points(spark, d), 0.01, steps=40, spring=0.05, longest=0.02).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query()

@@ -114,6 +114,23 @@ def test_relax_moves_apart(spark):
     assert got[2] - got[1] >= 0.999 and got[3] == 9.0
 
 
+def test_relax_ends_when_none_are_close(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.0), (3, 5.0, 5.0), (4, 5.0, 5.0)], "id long, x double, y double")
+    got = {r.id: (r.x, r.y) for r in spatial.relax(p, 1.0, strength=1.0, steps=4).collect()}
+    assert np.hypot(*np.subtract(got[1], got[2])) >= 0.999 and np.hypot(*np.subtract(got[3], got[4])) >= 0.999
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 0.0)], "id long, x double, y double")
+    assert [(r.id, r.x) for r in spatial.relax(far, 1.0, spring=0.5).orderBy("id").collect()] == [(1, 0.0), (2, 2.0)]
+
+
+def test_relax_points_has_the_steps_of_the_reference(spark, sf, monkeypatch):
+    from millrace.plans import vectors
+
+    seen = []
+    monkeypatch.setattr(vectors.S, "relax", lambda p, apart, **k: seen.append(k["steps"]) or p)
+    vectors.relax_points(spark, sf)
+    assert seen == [40]
+
+
 def test_concave_polygon(spark):
     ring = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
     q = spark.createDataFrame([([{"x": float(a), "y": float(b)} for a, b in ring], x, y) for x, y in ((1.0, 1.0), (2.0, 3.0), (3.5, 3.0))], "ring array<struct<x:double,y:double>>, x double, y double")
