@@ -55,19 +55,47 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; for small iterated state."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Folders of the tables written by this process and not removed yet.
+_written: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Survives lost executors, keeps column pruning, and is compressed, so it is
-    preferred to ``cut`` for anything that grows with the input.
+    Survives lost executors and cuts the lineage. What is read back has the
+    size of its files as its estimate, so that a loop's plans don't grow from
+    step to step, as they do behind ``checkpoint()``, which keeps the estimate of
+    the plan it replaces.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage and estimates of iterated state."""
+    return materialise(df, "cut")
+
+
+def mark() -> int:
+    """A place in the list of written tables, for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame, since: int = 0) -> int:
+    """Remove the tables that this process wrote after ``since``, but for those that ``keep`` reads; returns their number.
+
+    For the owner of a finished result: nothing else that was derived from the
+    removed tables can be computed afterwards.
+    """
+    plain = lambda path: path.split(":", 1)[-1].lstrip("/")
+    used = {plain(os.path.dirname(f)) for df in keep for f in df.inputFiles()}
+    gone = [p for p in _written[since:] if plain(p) not in used]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _written.remove(path)
+    return len(gone)
