@@ -11,29 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language, mixing, neardup, pieces, secrets
-from millrace.session import materialise, table
+from millrace.session import mark, materialise, sweep, table
 
-#: A text whose cosine with its language's prototype is below this resembles no learned language.
-LEAST_SCORE = 0.01
+#: A text whose cosine with its language's prototype is below this resembles no learned language: the cosine of
+#: unlike texts has a deviation of 1 / sqrt(DIM), and this is three of them. Only asked of texts with enough letters.
+LEAST_SCORE, ENOUGH = 3 / language.DIM**0.5, 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; null texts, texts without a letter and texts like no language go."""
-    known = language.identify(docs).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return known.select(*docs.columns)
+    """Documents in a learned language; null texts, texts without a letter and texts like no language go.
+
+    A text of fewer than ``ENOUGH`` letters is too short to tell, so it stays if it has a letter. ``lang`` becomes the language that was found, null ones included: later stages work by it.
+    """
+    short = F.regexp_count("text", F.lit(r"\p{L}")) < ENOUGH
+    known = language.identify(docs).where((F.col("lang_pred") != language.UNKNOWN) & (short | (F.col("score") >= LEAST_SCORE)))
+    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest doc_id.
 
-    Rows with a null doc_id take no part in the classes and are kept, one of each text.
+    Rows that repeat a doc_id are one document: of the kept one's rows, one stays
+    (the first by its columns). Rows with a null doc_id take no part in the classes;
+    one of each text stays.
     """
     known = docs.where("doc_id IS NOT NULL")
     found = neardup.near_duplicates(known.select("doc_id", "text"))
     first = found.where("doc_id = class_id").select("doc_id").distinct()
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = known.join(first, "doc_id", "left_semi")
+    # only doc_ids that are repeated go through an aggregation; texts of the others stay where they are
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    alone = kept.join(repeated, "doc_id", "left_anti")
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row")).select("doc_id", "__row.*")
     unnamed = docs.where("doc_id IS NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*")
-    return known.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    out = alone.select(*docs.columns)
+    for more in (again, unnamed):
+        out = out.unionByName(more.select(*docs.columns))
+    return out
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +80,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; when a stage is written, the tables before it are removed."""
+    docs, begun = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        sweep(spark, docs, since=begun)
     return STAGES[-1][1](spark, docs, sf_dir)
