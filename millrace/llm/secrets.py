@@ -12,22 +12,30 @@ than any transitions around it could make up is Outside on every best path, so
 it ends a chain; the tokens in between are decoded exactly.
 
 The field is trained here, by gradient ascent on the likelihood of windows of
-tokens whose tags come from the fixed patterns. The windows are drawn from a
-sample of documents by the hash of their id, about ``TRAIN_DOCS`` of them (all,
-if there are fewer), at most ``WINDOWS`` a document; every document is scanned.
+tokens. They come from a sample of about ``TRAIN_DOCS`` documents (all, if there
+are fewer), drawn by the hash of doc_id and text, equal rows once. A document
+gives windows around its pattern matches, two plain ones, and two into which
+something is planted: a made-up secret behind a cue that the patterns don't read
+(``bearer``, ``the key is``, other separators, or none), and a decoy (the same
+cues before plain words, numbers, dates, paths, versions). So shape and
+neighbours carry the decision where the patterns are blind. The lead that any
+other tag needs over Outside is then set on windows held out from the training:
+the least that leaves no plain or decoy token tagged, and ``MARGIN`` on top.
 
 Spans are [start, end) in code points. Those of the patterns always stay (the
 whole match is the span); the field's are added under the kind ``crf`` where
 they touch none of these and are at least ``LEAST`` characters long.
 
-Defined results: a null text is empty and has no spans; a table without a
-pattern match trains nothing and adds nothing; repeated rows are scanned each;
-other columns are ignored (``redacted`` keeps them).
+A text of more than ``SLICE`` characters is tagged in slices, cut at white space,
+whose file features are their own; the patterns read it whole.
+
+Defined results: a null text is empty and has no spans; a table without a word
+trains nothing and adds nothing; repeated rows are scanned each; a null doc_id
+is a value like any other; other columns are ignored (``redacted`` keeps them).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -37,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.textkit import batches, mix64, sent_in_parts
+from millrace.llm.textkit import batches, mix64, sent_in_parts, slices
 
 # The kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "crf")
@@ -48,8 +56,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = "password passwd secret token api apikey api_key key auth bearer credential credentials pwd access private".split()
 
-TRAIN_DOCS, WINDOWS, REACH = 4000, 8, 12
+TRAIN_DOCS, WINDOWS, REACH = 2000, 8, 12
 LEAST = 8
+#: Log odds added to the lead that the held-out windows ask for.
+MARGIN = 2.0
+#: Characters that are tagged at a time.
+SLICE = 1 << 20
+# What planted secrets and decoys are made of.
+CUES = "{k} is {q}{v}{q}|{k} {q}{v}{q}|{k}: {q}{v}{q}|{k} = {q}{v}{q}|{k} -> {v}|the {k} {v}|{k}s were {v}|{w} {v} {w}".split("|")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SIGNS = {"mixed": LETTERS + LETTERS.upper() + "0123456789", "url": LETTERS + LETTERS.upper() + "0123456789_-", "base64": LETTERS + LETTERS.upper() + "0123456789+/", "hex": "0123456789abcdef", "upper": LETTERS.upper() + "0123456789"}
+DECOYS = "{w}|{w}{w}|{w}-{n}|{n}|{n}.{n}|20{d}-0{d}-1{d}|+49 {n} {n}|v{d}.{d}.{d}-rc{d}|/{w}/{w}/{n}|{w}.{w}@{w}.example|{W}{W}|{w}_{w}_{d}|https://{w}.example/{w}?{w}={n}|{W}-{n}".split("|")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 NEVER = -1e6
 #: Bits of a token's own features, then of its neighbourhood and file.
@@ -113,6 +130,8 @@ class Tokens:
 
         d, u, lo, hx = count(digit), count(upper), count(lower), count(hexa)
         turns = count(np.concatenate([[False], digit[1:] != digit[:-1]]))
+        sort = digit + 2 * upper + 3 * np.isin(points, [ord(c) for c in "_+/-"])
+        changes = count(np.concatenate([[False], sort[1:] != sort[:-1]])) - (sort[s] != sort[np.maximum(s - 1, 0)])
         word = kind[s] == 1
         sep, quote = count((points == 58) | (points == 61)) > 0, count((points == 34) | (points == 39)) > 0
         key = word & self._is_key(points)
@@ -120,8 +139,8 @@ class Tokens:
         mixed = (u > 0) & (lo > 0) & (d > 0)
         own = [
             word, word & (size >= 8), word & (size >= 16), word & (size >= 24), word & (size >= 32), d > 0, (d > 0) & (u + lo > 0),
-            word & (d * 5 > size), (d == size), (hx == size) & (d > 0) & (size >= 8), mixed & (size >= 8), (u + d == size) & (u > 0) & (size >= 8),
-            akia & (size >= 12), turns >= 4, sep, key,
+            word & (size >= 8) & (changes * 3 >= size), (d == size), (hx == size) & (d > 0) & (size >= 8), mixed & (size >= 8), (u + d == size) & (u > 0) & (size >= 8),
+            word & (size >= 8) & (changes * 6 < size), turns >= 4, sep, key,
         ]
 
         def back(x: np.ndarray, n: int) -> np.ndarray:
@@ -187,6 +206,12 @@ class Field:
     def emissions(self, bits: np.ndarray) -> np.ndarray:
         return self.low[bits & 0xFFFF] + self.high[bits >> 16]
 
+    def ahead(self, lead: float) -> "Field":
+        """This field with so much added to the score of Outside."""
+        emit = self.emit.copy()
+        emit[BITS, OUTSIDE] += lead
+        return Field(emit, self.move)
+
     def decode(self, bits: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Best tags; ``first`` marks the first token of each text."""
         n = len(bits)
@@ -275,13 +300,17 @@ def fit(bits: np.ndarray, tags: np.ndarray, length: np.ndarray, rounds: int = 80
     return Field(emit, move)
 
 
-def _tagged(tokens: Tokens, texts: list[str]) -> np.ndarray:
-    """Tags of the tokens from the fixed patterns (of an assignment, its value)."""
+def _valued(text: str) -> list[tuple[int, int]]:
+    """What the fixed patterns find (of an assignment, its value)."""
+    spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    return sorted(spans + [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)])
+
+
+def _tagged(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Tags of the tokens of each text from its spans."""
     tags = np.full(len(tokens.start), OUTSIDE, np.int8)
-    for d, t in enumerate(texts):
-        spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 8]
-        spans += [m.span() for p in (ACCESS, HEX) for m in p.finditer(t)]
-        for s, e in sorted(spans):
+    for d, of in enumerate(spans):
+        for s, e in of:
             i = np.searchsorted(tokens.end, s + tokens.base[d], side="right")
             j = np.searchsorted(tokens.start, e + tokens.base[d], side="left")
             if i < j and tags[i] == OUTSIDE:
@@ -290,44 +319,102 @@ def _tagged(tokens: Tokens, texts: list[str]) -> np.ndarray:
     return tags
 
 
+def planted(text: str, rng: np.random.Generator, secret: bool) -> tuple[str, int, int]:
+    """``text`` with a made-up secret or a decoy at a gap between words, and the place of its value."""
+    pick = lambda of: of[int(rng.integers(len(of)))]
+    gaps = [m.start() for m in re.finditer(r"\s", text[: 1 << 16])]
+    at = pick(gaps) if gaps else len(text)
+    words = [w for w in text[max(0, at - 400) : at + 400].split() if w.isalpha()] or ["text"]
+    number = lambda: str(int(rng.integers(10 ** int(rng.integers(1, 8)))))
+    cue = pick(CUES)
+    if secret:
+        kind = pick(list(SIGNS))
+        size = int(rng.integers(16, 32) if kind in ("hex", "upper") else rng.integers(24 if "{k}" not in cue else 12, 41))
+        value = "".join(pick(SIGNS[kind]) for _ in range(size))
+    else:
+        value = re.sub(r"\{(.)\}", lambda m: {"w": lambda: pick(words), "W": lambda: pick(words).upper(), "n": number, "d": lambda: str(int(rng.integers(10)))}[m[1]](), pick(DECOYS))
+    key = pick(KEYWORDS)
+    cue = cue.replace("{k}", pick([key, key.capitalize(), key.upper()])).replace("{q}", pick(["", "", '"', "'"])).replace("{w}", pick(words))
+    lead = " " + cue[: cue.index("{v}")]
+    start = at + len(lead)
+    return text[:at] + lead + value + cue[cue.index("{v}") + 3 :] + text[at:], start, start + len(value)
+
+
+def _windows(text: str, seed: int) -> list[tuple[int, list[int], list[int]]]:
+    """(1 if nothing in it is a secret, bits, tags) of a document's training windows."""
+    rng = np.random.default_rng(seed & (2**63 - 1))
+    texts, spans, centres = [text], [_valued(text)], [None]
+    for secret in (True, False):
+        t, s, e = planted(text, rng, secret)
+        found = _valued(t)
+        if secret and not any(x < e and s < y for x, y in found):
+            found = sorted([*found, (s, e)])
+        texts.append(t)
+        spans.append(found)
+        centres.append(s)
+    out = []
+    for t, of, centre in zip(texts, spans, centres, strict=True):
+        tokens = Tokens([t])
+        n = len(tokens.start)
+        if not n:
+            continue
+        tags = _tagged(tokens, [of])
+        if centre is None:
+            at = np.flatnonzero(tags == BEGIN).tolist()[: WINDOWS - 2] + [n // 3, 2 * n // 3]
+        else:
+            at = [int(np.searchsorted(tokens.end, centre + tokens.base[0], side="right"))]
+        for c in at:
+            i, j = max(0, c - REACH), min(n, c + REACH + 1)
+            while i > 0 and tags[i] == INSIDE:
+                i -= 1
+            x, y = tokens.bits[i:j][: 2 * REACH + 1], tags[i:j][: 2 * REACH + 1]
+            out.append((int((y == OUTSIDE).all()), x.astype(np.int64).tolist(), y.tolist()))
+    return out
+
+
+def learnt(windows: list[tuple[int, list[int], list[int]]]) -> Field | None:
+    """A field from the windows, four fifths of them, with its lead over Outside set on the rest."""
+    windows = [w for w in windows if w[1]]
+    if not any(not clean for clean, _, _ in windows):
+        return None
+    length = np.array([len(x) for _, x, _ in windows])
+    most = int(length.max())
+    bits, tags = np.zeros((len(windows), most), np.uint32), np.full((len(windows), most), OUTSIDE, np.int8)
+    for i, (_, x, y) in enumerate(windows):
+        bits[i, : len(x)], tags[i, : len(y)] = x, y
+    rest = np.arange(len(windows)) % 5 == 4
+    field = fit(bits[~rest], tags[~rest], length[~rest])
+    held = [windows[i] for i in np.flatnonzero(rest)]
+    flat = np.array([b for _, x, _ in held for b in x], np.uint32)
+    gold = np.array([t for _, _, y in held for t in y], np.int8)
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum([0, *(len(x) for _, x, _ in held)])[:-1]] = True
+    lead = 0.0
+    while len(flat) and lead < 12 and ((field.ahead(lead).decode(flat, first) != OUTSIDE) & (gold == OUTSIDE)).any():
+        lead += 0.5
+    return field.ahead(lead + MARGIN)
+
+
 def train(docs: DataFrame) -> Field | None:
-    """A field from a sample of the documents, or None where no pattern occurs in it."""
+    """A field from a sample of the documents, or None where they hold no word."""
     n = docs.count()
     share = 1.0 if n <= TRAIN_DOCS else TRAIN_DOCS / n
-    sample = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), "text")
+    sample = drawn.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def go(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32()))]
         for b in rows:
-            out: list[tuple[list[int], list[int]]] = []
-            for _, texts in batches(b.column(0).to_pylist(), 256):
-                t = Tokens(texts)
-                tags = _tagged(t, texts)
-                first = np.searchsorted(t.doc, np.arange(len(texts) + 1))
-                for d in range(len(texts)):
-                    lo, hi = int(first[d]), int(first[d + 1])
-                    if lo == hi:
-                        continue
-                    at = (np.flatnonzero(tags[lo:hi] == BEGIN) + lo).tolist()[: WINDOWS - 2]
-                    at += [lo + (hi - lo) // 3, lo + 2 * (hi - lo) // 3]
-                    for c in at:
-                        i, j = max(lo, c - REACH), min(hi, c + REACH + 1)
-                        while i > lo and tags[i] == INSIDE:
-                            i -= 1
-                        out.append((t.bits[i:j][: 2 * REACH + 1].astype(np.int64).tolist(), tags[i:j][: 2 * REACH + 1].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([y for _, y in out], pa.list_(pa.int32()))], ["bits", "tags"]
-            )
-
-    got = sent_in_parts(sample).select("text").mapInArrow(go, "bits array<long>, tags array<int>").collect()
-    got = sorted((tuple(r.bits), tuple(r.tags)) for r in got)
-    if not any(BEGIN in tags for _, tags in got):
-        return None
-    length = np.array([len(x) for x, _ in got])
-    most = int(length.max())
-    bits, tags = np.zeros((len(got), most), np.uint32), np.full((len(got), most), OUTSIDE, np.int8)
-    for i, (x, y) in enumerate(got):
-        bits[i, : len(x)], tags[i, : len(y)] = x, y
-    return fit(bits, tags, length)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                found = [_windows(t, h) for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                cols = [part.column(0).to_pylist(), *([[w[k] for w in ws] for ws in found] for k in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "clean", "bits", "tags"])
+
+    schema = "h long, clean array<int>, bits array<array<long>>, tags array<array<int>>"
+    each = sent_in_parts(sample).mapInArrow(go, schema).groupBy("h").agg(*[F.first(c).alias(c) for c in ("clean", "bits", "tags")])
+    got = each.orderBy("h").limit(2 * TRAIN_DOCS).collect()  # a bounded number of short windows
+    return learnt([w for r in got for w in zip(r.clean, r.bits, r.tags, strict=True)])
 
 
 def find(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int]]]:
@@ -335,25 +422,31 @@ def find(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int
     out = [base_spans(t) for t in texts]
     if field is None:
         return out
-    tokens = Tokens(texts)
+    parts = [(d, at, part) for d, t in enumerate(texts) for at, part in slices(t, SLICE)]
+    for _, some in batches(parts, 256, size=lambda p: len(p[2])):
+        _add(out, some, field)
+    return out
+
+
+def _add(out: list[list[tuple[int, int, int]]], parts: list[tuple[int, int, str]], field: Field) -> None:
+    """Add the field's spans in (text, offset, slice) to those found."""
+    tokens = Tokens([p for _, _, p in parts])
     n = len(tokens.start)
     if not n:
-        return out
+        return
     first = np.concatenate([[True], tokens.doc[1:] != tokens.doc[:-1]])
     tags = field.decode(tokens.bits, first)
     begin = np.flatnonzero((tags == BEGIN) | (tags == INSIDE) & np.concatenate([[True], tags[:-1] == OUTSIDE]) | (tags == INSIDE) & first)
-    if not len(begin):
-        return out
     more = np.concatenate([(tags[1:] == INSIDE) & ~first[1:], [False]])
     for i in begin.tolist():
         j = i
         while more[j]:
             j += 1
-        d = int(tokens.doc[i])
-        s, e = int(tokens.start[i] - tokens.base[d]), int(tokens.end[j] - tokens.base[d])
+        d, at, _ = parts[int(tokens.doc[i])]
+        shift = at - int(tokens.base[tokens.doc[i]])
+        s, e = int(tokens.start[i]) + shift, int(tokens.end[j]) + shift
         if e - s >= LEAST and not any(s < b_end and b_start < e for b_start, _, b_end in out[d]):
             out[d] = sorted([*out[d], (s, 3, e)])
-    return out
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -372,14 +465,6 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return sent_in_parts(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(go, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def listing(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(listing(spans).encode()).hexdigest()
-
-
 def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` and, where there is one, n_chars counted again."""
     field = field or train(docs)
