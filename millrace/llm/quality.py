@@ -1,11 +1,18 @@
 """Quality rules under weak supervision (DataFrame operations only).
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Documents are
-counted by their pattern of votes, at most ``3 ** len(RULES)`` patterns, and
-expectation-maximisation over that table of counts estimates how often each
-rule is right on good and on bad documents and the share of good documents. A document's posterior probability of
-being good follows from its pattern; it is kept where that is at least
-``KEEP_AT`` and the base rules pass. Every document enters the estimate.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. Rules overlap:
+each defect is looked at by several, of unlike strictness. Documents are counted
+by their pattern of votes, at most ``3 ** len(RULES)`` patterns, and
+expectation-maximisation over that table of counts estimates how often each rule
+votes against good and against bad documents, and the share of good ones. A
+document's posterior probability of being good follows from its pattern; it is
+kept where that is at least ``KEEP_AT`` and the base rules pass. So one vote
+against is weighed: it isn't a veto. Every document enters the estimate.
+
+The estimate starts from the same belief about each rule (``RATES``), which also
+counts as ``BELIEF`` of the corpus's size in documents; a rule is taken to be at
+least as ready to vote against a bad document as against a good one. Of the
+starts in ``STARTS`` the one that ends at the most probable estimate counts.
 
 All text statistics are computed inside the row from arrays: nothing is
 exploded, so the only shuffle is the count by pattern; the statistics are written
@@ -30,23 +37,25 @@ WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]"
 #: Posterior probability of being good from which a document is kept.
 KEEP_AT = 0.5
-#: First belief that a document is good: with a vote against it, and without one.
-START = (0.1, 0.95)
-#: The share of good documents is held within these; a corpus is neither all junk nor all clean.
-PRIOR = (0.5, 0.98)
-#: Documents added to each count of votes, against rates of zero.
-SMOOTH = 0.5
-#: A rule votes against good documents at most this often.
-FALSE_ALARM = 0.01
-#: Rules look for one defect each, so a vote for a document says little: at most this many log odds.
-MOST_FOR = 0.25
-ROUNDS = 200
+#: First belief about any rule: how often it votes against bad and against good documents, where it votes.
+RATES = (0.4, 0.1)
+#: Weight of that belief, as a share of the documents.
+BELIEF = 0.05
+#: Starts of the first of the two rates.
+STARTS = (0.2, 0.3, 0.4, 0.5, 0.6)
+ROUNDS = 500
+#: Variety of words is asked of this many words at most, as it falls with length.
+VARIED = 400
 
 #: name -> (bad where, good where), over the statistics below; anything else abstains.
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 20", "n_words >= 50"),
     "symbols": ("n_symbols > 0.25 * n_words", "n_symbols <= 0.02 * n_words"),
+    "symbol_chars": ("n_symbols > 0.03 * word_chars", "n_symbols <= 0.005 * word_chars"),
+    "letters": ("n_letter_words < 0.8 * n_words", "n_letter_words >= 0.95 * n_words"),
     "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words = 0"),
+    "stutter": ("n_stutter > 0.1 * n_words", "n_stutter <= 0.02 * n_words"),
+    "variety": (f"n_distinct < 0.3 * least(n_words, {VARIED})", f"n_distinct >= 0.5 * least(n_words, {VARIED})"),
     "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
     "word_length": ("word_chars > 12 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     "capitals": ("n_capitals > 0.5 * word_chars", "n_capitals < 0.1 * word_chars"),
@@ -108,6 +117,9 @@ def statistics(docs: DataFrame) -> DataFrame:
             _removed(F.col("t"), r"[#*$%&|<>]+").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             windows.alias("hashes"),
+            F.size(F.filter(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: x == y), lambda same: same)).cast("long").alias("n_stutter"),
+            F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+            F.regexp_count("t", F.lit(r"\p{L}[^\x20\x09-\x0D]*")).cast("long").alias("n_letter_words"),
             F.size("lines").cast("long").alias("n_lines"),
             _removed(F.col("t"), "[A-Z]+").alias("n_capitals"),
             _removed(F.col("t"), "[0-9]+").alias("n_digits"),
@@ -125,45 +137,15 @@ def with_votes(stats: DataFrame) -> DataFrame:
     return stats.select("*", *votes).withColumn("votes", F.concat_ws(",", *[F.col(name).cast("string") for name in RULES]))
 
 
-Rates = list[list[dict[int, float]]]
-
-
-def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]:
-    """Share of good documents, and which way each rule votes, where it votes, on bad [0] and on good [1] ones.
-
-    Expectation-maximisation over patterns of votes and their counts. It starts
-    from the belief that a vote against a document is mostly right, which also
-    tells the two classes apart.
-    """
-    m, total = len(RULES), sum(n for _, n in counts)
-    good = [START[0] if min(pattern) < 0 else START[1] for pattern, _ in counts]
-    prior, rates = 0.5, [[{-1: 0.5, 1: 0.5} for _ in range(m)] for _ in range(2)]
-    for _ in range(ROUNDS if total else 0):
-        was = prior
-        weight = [[n * (1 - p) for (_, n), p in zip(counts, good, strict=True)], [n * p for (_, n), p in zip(counts, good, strict=True)]]
-        mass = [sum(w) for w in weight]
-        prior = min(PRIOR[1], max(PRIOR[0], mass[1] / total))
-        for c in range(2):
-            for k in range(m):
-                votes = {
-                    v: SMOOTH + sum(w for (pattern, _), w in zip(counts, weight[c], strict=True) if pattern[k] == v)
-                    for v in (-1, 1)
-                }
-                against = votes[-1] / (votes[-1] + votes[1])
-                against = min(against, FALSE_ALARM) if c else against
-                rates[c][k] = {-1: against, 1: 1 - against}
-        good = [posterior(pattern, prior, rates) for pattern, _ in counts]
-        if abs(was - prior) < 1e-9:
-            break
-    return prior, rates
+Counts = list[tuple[tuple[int, ...], int]]
+#: How often each rule votes against bad [0] and good [1] documents, where it votes.
+Rates = tuple[list[float], list[float]]
 
 
 def log_odds(k: int, vote: int, rates: Rates) -> float:
-    """What a vote adds to the log odds of being good: nothing if it abstains, little if it only misses a defect."""
-    if not vote:
-        return 0.0
-    x = math.log(rates[1][k][vote] / rates[0][k][vote])
-    return min(max(x, 0.0), MOST_FOR) if vote > 0 else min(x, 0.0)
+    """What a vote adds to the log odds of being good: nothing if it abstains."""
+    bad, good = rates[0][k], rates[1][k]
+    return 0.0 if not vote else math.log(good / bad) if vote < 0 else math.log((1 - good) / (1 - bad))
 
 
 def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
@@ -171,6 +153,48 @@ def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
+def _climb(counts: Counts, first: float) -> tuple[float, Rates, float]:
+    """Share of good documents, rates and log probability that one start ends at."""
+    m, total = len(counts[0][0]), sum(n for _, n in counts)
+    belief = BELIEF * total
+    prior, rates = 0.5, ([first] * m, [RATES[1]] * m)
+    for _ in range(ROUNDS):
+        good = [posterior(pattern, prior, rates) for pattern, _ in counts]
+        new: Rates = ([], [])
+        for k in range(m):
+            votes, against = [belief, belief], [belief * RATES[0], belief * RATES[1]]
+            for (pattern, n), g in zip(counts, good, strict=True):
+                for c, mass in ((0, n * (1 - g)), (1, n * g)) if pattern[k] else ():
+                    votes[c] += mass
+                    against[c] += mass * (pattern[k] < 0)
+            each = [a / v for a, v in zip(against, votes, strict=True)]
+            if each[0] < each[1]:
+                each = [sum(against) / sum(votes)] * 2
+            for c in (0, 1):
+                new[c].append(each[c])
+        share = (sum(n * g for (_, n), g in zip(counts, good, strict=True)) + 1) / (total + 2)
+        moved = max(abs(share - prior), *(abs(x - y) for c in (0, 1) for x, y in zip(rates[c], new[c], strict=True)))
+        prior, rates = share, new
+        if moved < 1e-9:
+            break
+    fit = sum(belief * (RATES[c] * math.log(r) + (1 - RATES[c]) * math.log(1 - r)) for c in (0, 1) for r in rates[c])
+    for pattern, n in counts:
+        parts = [math.log(share) for share in (1 - prior, prior)]
+        for c in (0, 1):
+            parts[c] += sum(math.log(rates[c][k] if v < 0 else 1 - rates[c][k]) for k, v in enumerate(pattern) if v)
+        top = max(parts)
+        fit += n * (top + math.log(sum(math.exp(x - top) for x in parts)))
+    return prior, rates, fit
+
+
+def estimate(counts: Counts) -> tuple[float, Rates]:
+    """Share of good documents and the rules' rates: expectation-maximisation over patterns of votes and their counts."""
+    if not counts:
+        return 0.5, ([RATES[0]] * len(RULES), [RATES[1]] * len(RULES))
+    prior, rates, _ = max((_climb(counts, first) for first in STARTS), key=lambda x: x[2])
+    return prior, rates
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, base_failed, p_good and kept of every row of ``docs``."""
     voted = materialise(with_votes(statistics(docs)), "quality")
