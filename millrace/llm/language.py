@@ -9,13 +9,14 @@ word; runs have a letter in the middle, so they don't reach across words.
 
 Prototypes are sums, so each partition adds up its own and the parts are added
 by an aggregation; languages times ``DIM`` numbers reach the driver and are
-broadcast, with ``MAX_LANGUAGES`` checked first. Prediction is a map.
+broadcast, a packed row each, with ``MAX_LANGUAGES`` checked first. Prediction is a map.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text where nothing could be learned. The score is the cosine, held
 to 0 .. 1; ties go to the language that sorts first. Rows with a null doc_id are
-predicted, not learned from. Repeated rows count each. Columns that are already
-named lang_pred or score are replaced.
+predicted, not learned from, and aren't held out. Repeated rows count each. A
+text of any length is taken in slices cut behind white space, whose sums add up
+to the whole's. Columns that are already named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from millrace.llm.textkit import batches, sent_in_parts
+from millrace.llm.textkit import batches, sent_in_parts, slices
 
 DIM = 512
 SEED = 20_240_601
@@ -122,7 +123,8 @@ def _profiles(pairs: Iterator[tuple[str, str]]) -> dict[str, np.ndarray]:
     held = list(pairs)
     for lang in sorted({x for x, _ in held}):
         total = np.zeros(DIM)
-        for _, texts in batches((t for x, t in held if x == lang), most_rows=1 << 30):
+        parts = (part for x, t in held if x == lang for _, part in slices(t, CHARS))
+        for _, texts in batches(parts, most_rows=1 << 30):
             _, run, base = runs(texts)
             kinds, place = distinct(run, base)
             n = np.bincount(place, minlength=len(kinds)).astype(np.float64)
@@ -132,8 +134,17 @@ def _profiles(pairs: Iterator[tuple[str, str]]) -> dict[str, np.ndarray]:
     return out
 
 
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
 def held_out() -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(_fold() == 0, F.lit(False))
+
+
+def learned_from() -> Column:
+    """The rest, but for rows without a doc_id, whose remainder is unknown."""
+    return F.coalesce(_fold() != 0, F.lit(False))
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -155,16 +166,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     sums = (
         sent_in_parts(known).select("lang", "text").mapInArrow(part, "lang string, v array<long>")
         .select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+        .groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
     )
-    got = sums.limit(MAX_LANGUAGES * DIM + 1).collect()
-    if len(got) > MAX_LANGUAGES * DIM:
+    got = sums.limit(MAX_LANGUAGES + 1).collect()
+    if len(got) > MAX_LANGUAGES:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
-    langs = sorted({r.lang for r in got})
-    p = np.zeros((len(langs), DIM))
-    for r in got:
-        p[langs.index(r.lang), r.i] = r.x
-    some = np.abs(p).sum(axis=1) > 0
-    return [x for x, keep in zip(langs, some, strict=True) if keep], p[some]
+    found = {r.lang: np.array(r.v, np.float64) for r in got if any(r.v)}
+    langs = sorted(found)
+    return langs, np.stack([found[x] for x in langs]) if langs else np.zeros((0, DIM))
 
 
 def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], list[float]]:
@@ -173,29 +182,34 @@ def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple
     if not langs:
         return names, scores
     unit = (prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)).astype(np.float32)
-    for first, some in batches(texts, ROWS, CHARS):
-        doc, run, base = runs(some)
+    vectors, lettered = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
+    parts = ((d, part) for d, t in enumerate(texts) for _, part in slices(t, CHARS))
+    for _, some in batches(parts, ROWS, CHARS, size=lambda p: len(p[1])):
+        of = np.array([d for d, _ in some])
+        part, run, base = runs([t for _, t in some])
         if not len(run):
             continue
+        lettered[of[np.unique(part)]] = True
         kinds, place = distinct(run, base)
-        vectors = np.zeros((len(some), DIM), np.float32)
         for i in range(0, len(kinds), 8192):
             here = (place >= i) & (place < i + 8192) if len(kinds) > 8192 else slice(None)
             width = min(8192, len(kinds) - i)
-            n = np.bincount(doc[here] * width + place[here] - i, minlength=len(some) * width).reshape(len(some), width)
-            vectors += n.astype(np.float32) @ run_vectors(kinds[i : i + width], base).astype(np.float32)
-        lengths = np.linalg.norm(vectors, axis=1)
-        cos = (vectors @ unit.T) / np.maximum(lengths, 1e-9)[:, None]
-        best = cos.argmax(axis=1)
-        for d in np.unique(doc).tolist():
-            names[first + d] = langs[best[d]]
-            scores[first + d] = float(min(1.0, max(0.0, cos[d, best[d]])))
+            n = np.bincount(part[here] * width + place[here] - i, minlength=len(some) * width).reshape(len(some), width)
+            more = n.astype(np.float32) @ run_vectors(kinds[i : i + width], base).astype(np.float32)
+            if of[-1] - of[0] == len(of) - 1:  # a slice a text
+                vectors[of[0] : of[-1] + 1] += more
+            else:
+                np.add.at(vectors, of, more)
+    cos = (vectors @ unit.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+    best = cos.argmax(axis=1)
+    for d in np.flatnonzero(lettered).tolist():
+        names[d], scores[d] = langs[best[d]], float(min(1.0, max(0.0, cos[d, best[d]])))
     return names, scores
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; learns from the rows that aren't held out unless a model is given."""
-    langs, prototypes = model or train(docs.where(~held_out()))
+    langs, prototypes = model or train(docs.where(learned_from()))
     docs = docs.drop("lang_pred", "score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prototypes))  # at most MAX_LANGUAGES * DIM numbers

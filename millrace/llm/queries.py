@@ -81,7 +81,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.train(docs.where(~language.held_out()))
+    model = language.train(docs.where(language.learned_from()))
     done = language.identify(docs.select("doc_id", "text"), model)
     return done.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
@@ -130,9 +130,9 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   CAST(sum(16 + 2 * length(role || text) - length(replace(replace(replace(role || text, '~', ''), '<', ''), '[', ''))
     + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
 FROM rows_ GROUP BY conv_id
