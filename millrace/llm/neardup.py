@@ -44,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bitfilter
@@ -56,6 +56,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Members of a block, and columns of one product, where a bucket is compared block by block.
 BLOCK, COLUMNS = 256, 4096
+#: Cells (element, unit of weight) that darts are thrown on at a time.
+CELLS = 1 << 18
 #: Inverse distribution function of the number of darts in a cell.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _C = seeded(7, 8)
@@ -80,22 +82,24 @@ def elements(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray,
 def _throw(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, reach: np.ndarray, k: int, out: np.ndarray) -> None:
     """Darts up to rank ``reach[owner]`` on the given elements; out[owner, coordinate] keeps the least."""
     wide = np.ceil(weight).astype(np.int64)
-    for unit in range(int(wide.max(initial=0))):
-        on = wide > unit
-        o, e, w = owner[on], h[on], weight[on]
+    whole, before = int(wide.sum()), np.cumsum(wide) - wide
+    for lo in range(0, whole, CELLS):
+        nth = np.arange(lo, min(whole, lo + CELLS))
+        on = np.searchsorted(before, nth, side="right") - 1
+        o, e, w, unit = owner[on], h[on], weight[on], nth - before[on]
         high = np.ceil(reach[o]).astype(np.int64)
         rep = np.repeat(np.arange(len(o)), high)
         rank = np.arange(len(rep)) - np.repeat(np.cumsum(high) - high, high)
         with np.errstate(over="ignore"):
-            cell = mix64(e[rep] + rank.astype(np.uint64) * _C[1] + np.uint64(unit) * _C[2])
+            cell = mix64(e[rep] + rank.astype(np.uint64) * _C[1] + unit[rep].astype(np.uint64) * _C[2])
             darts = np.searchsorted(_POISSON, (cell >> np.uint64(11)).astype(np.float64) / 2.0**53)
             rep2 = np.repeat(np.arange(len(rep)), darts)
-            nth = np.arange(len(rep2)) - np.repeat(np.cumsum(darts) - darts, darts)
-            dart = mix64(cell[rep2] + (nth + 1).astype(np.uint64) * _C[3])
+            nth2 = np.arange(len(rep2)) - np.repeat(np.cumsum(darts) - darts, darts)
+            dart = mix64(cell[rep2] + (nth2 + 1).astype(np.uint64) * _C[3])
             at = mix64(dart ^ _C[4])
         who, r = rep[rep2], rank[rep2]
         fraction = (dart >> np.uint64(16)).astype(np.float64) / 2.0**48
-        ok = (r + fraction < reach[o[who]]) & (unit + (at >> np.uint64(32)).astype(np.float64) / 2.0**32 < w[who])
+        ok = (r + fraction < reach[o[who]]) & (unit[who] + (at >> np.uint64(32)).astype(np.float64) / 2.0**32 < w[who])
         coordinate = (at & np.uint64(0xFFFFFFFF)) % np.uint64(k)
         value = (r.astype(np.uint64) << np.uint64(48)) | (dart >> np.uint64(16))
         np.minimum.at(out, (o[who[ok]], coordinate[ok].astype(np.int64)), value[ok])
@@ -201,15 +205,15 @@ def common_runs(runs: list[np.ndarray]) -> np.ndarray:
 def block_links(mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of a bucket with other labels, one for two labels and block.
 
-    A bucket is cut into blocks of ``BLOCK`` members, and each two blocks meet in
-    a place of their own, so a task holds two blocks whatever the bucket; no pair
-    becomes a row unless it is a link.
+    A bucket is dealt by hash into blocks of about ``BLOCK`` members, and each two
+    blocks meet in a place of their own, so a task holds two blocks whatever the
+    bucket, and nothing numbers a bucket in one place; no pair becomes a row
+    unless it is a link.
     """
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
-    cut_up = mixed.withColumn("block", F.floor(nth / BLOCK).cast("int"))
-    blocks = cut_up.groupBy("key").agg((F.max("block") + 1).alias("n"))
+    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    cut_up = mixed.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    met = cut_up.join(blocks, "key").withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "label")
+    met = cut_up.withColumn("other", other).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "label")
     rows = met.join(sets, "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "id", "label", "runs")
 
     def links(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
