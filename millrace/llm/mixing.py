@@ -10,12 +10,15 @@ tokens are ``keep`` of the corpus. The draw is a hash of doc_id and seed, so it
 Targets are shares of tokens. Where none are given, the corpus's own shares are
 flattened: share ** TEMPERATURE, normalised.
 
+The topic is fitted to the corpus (``topics``): clusters of hashed term vectors.
+
 Counting shuffles one row a cell and task. Cells are few (sources x languages x
 topics); up to ``MAX_CELLS`` of them are raked on the driver. Beyond that they
-are raked by DataFrame aggregation and joins, cutting lineage at each sweep.
+are raked by DataFrame aggregation and joins, cutting lineage at each sweep, to
+the same tolerance and within the same numbers of sweeps and steps.
 
 Defined results: null source, lang or text are values of their own (topic of a
-null text: ``empty``); a target for a value that doesn't occur is left out and
+null text, or one without a word: ``empty``); a target for a value that doesn't occur is left out and
 the rest renormalised; equal doc_ids are drawn alike; an empty table gives an
 empty result.
 """
@@ -28,45 +31,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import topics
 from millrace.session import cut, materialise
 
 AXES = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 KEEP = 0.7
-SWEEPS = 100
+#: At most so many sweeps, and steps of calibration.
+SWEEPS, STEPS = 100, 60
 TOLERANCE = 1e-9
-#: Where cells are raked as a DataFrame: when to stop, and at most so many sweeps and steps of calibration.
-FRAME_TOLERANCE, FRAME_SWEEPS, FRAME_STEPS = 1e-6, 20, 20
 MAX_CELLS = 100_000
 NONE = "\u0000none"
 
 Marginals = dict[str, dict[str, float]]
 
 
-def topic() -> Column:
-    """A coarse topic from the form of the text, first that applies."""
-    t, n = F.col("text"), F.octet_length("text")
-    share = lambda pattern: (n - F.octet_length(F.regexp_replace(t, pattern, ""))) / n
-    return (
-        F.when(F.coalesce(F.trim(t), F.lit("")) == "", "empty")
-        .when(share("[#$%&*<>{}]+") > 0.04, "markup")
-        .when(share("[|]+") > 0.02, "table")
-        .when(share("[0-9]+") > 0.05, "numeric")
-        .when(n < 1000, "note")
-        .when(n < 8000, "article")
-        .otherwise("longform")
-    )
-
-
 def tokens() -> Column:
     """Words separated by single white space characters, runs of which count as one."""
     return F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def cells(docs: DataFrame, weight: Column, axes: dict[str, Column]) -> DataFrame:
-    """doc_id, the axes and the weight of each document, written once: texts aren't read again."""
-    cols = [F.coalesce(e.cast("string"), F.lit(NONE)).alias(a) for a, e in axes.items()]
-    return materialise(docs.select("doc_id", *cols, F.coalesce(weight, F.lit(0)).cast("long").alias("tokens")), "mix")
+def cells(docs: DataFrame, weight: Column, axes: dict[str, Column | None]) -> tuple[DataFrame, dict[str, Column]]:
+    """doc_id, the axes and the weight of each document, written once, and the axes as expressions over ``docs``.
+
+    An axis without an expression is the fitted topic; its vectors are written with
+    the rest, so that texts aren't read again to fit it.
+    """
+    fitted = [a for a, e in axes.items() if e is None]
+    given = [F.coalesce(e.cast("string"), F.lit(NONE)).alias(a) for a, e in axes.items() if e is not None]
+    extra = [topics.vector(F.col("text")).alias("v"), F.xxhash64("text", F.lit(5)).alias("key")] if fitted else []
+    rows = materialise(docs.select("doc_id", *given, *extra, F.coalesce(weight, F.lit(0)).cast("long").alias("tokens")), "mix")
+    if not fitted:
+        return rows, axes
+    centres = topics.fit(rows)
+    rows = rows.withColumns({a: topics.label(F.col("v"), centres) for a in fitted}).select("doc_id", *axes, "tokens")
+    return materialise(rows, "mix-topics"), {a: topics.topic(F.col("text"), centres) if e is None else e for a, e in axes.items()}
 
 
 def flattened(sums: Marginals) -> Marginals:
@@ -78,7 +77,7 @@ def flattened(sums: Marginals) -> Marginals:
     return out
 
 
-def rake(table: dict[tuple[str, ...], float], axes: tuple[str, ...], targets: Marginals) -> dict[tuple[str, ...], float]:
+def rake(table: dict[tuple[str, ...], float], axes: tuple[str, ...], targets: Marginals, tolerance: float = TOLERANCE) -> dict[tuple[str, ...], float]:
     """Weights of the cells, in shares, with the margins that are asked for."""
     total = sum(table.values())
     w = {k: x / total for k, x in sorted(table.items()) if x > 0}
@@ -92,7 +91,7 @@ def rake(table: dict[tuple[str, ...], float], axes: tuple[str, ...], targets: Ma
             scale = sum(want.values())
             off = max([off, *(abs(want[v] / scale - sums[v]) for v in want)])
             w = {k: x * want[k[n]] / scale / sums[k[n]] for k, x in w.items() if k[n] in want}
-        if off < TOLERANCE:
+        if off < tolerance:
             break
     return w
 
@@ -113,11 +112,11 @@ def probabilities(table: dict[tuple[str, ...], float], w: dict[tuple[str, ...],
     total = sum(table.values())
     ratio = {k: w[k] * total / table[k] for k in w}
     budget = keep * sum(table[k] for k in w)
-    c = calibrated(lambda c: sum(min(1.0, c * r) * table[k] for k, r in ratio.items()), budget, 60) if w else 0.0
+    c = calibrated(lambda c: sum(min(1.0, c * r) * table[k] for k, r in ratio.items()), budget, STEPS) if w else 0.0
     return {k: min(1.0, c * r) for k, r in ratio.items()}
 
 
-def _raked_frame(counts: DataFrame, axes: tuple[str, ...], targets: Marginals | None, keep: float, sweeps: int) -> DataFrame:
+def _raked_frame(counts: DataFrame, axes: tuple[str, ...], targets: Marginals | None, keep: float, tolerance: float) -> DataFrame:
     """``rake`` and ``probabilities`` for many cells: each sweep is an aggregation and a join by axis."""
     total = counts.agg(F.sum("tokens")).first()[0] or 1
     w = counts.where("tokens > 0").withColumn("w", F.col("tokens") / total)
@@ -131,36 +130,36 @@ def _raked_frame(counts: DataFrame, axes: tuple[str, ...], targets: Marginals |
             own = own.withColumn("goal", F.pow("n", F.lit(TEMPERATURE.get(axis, 1.0))))
         scale = own.agg(F.sum("goal")).first()[0] or 1.0
         goals[axis] = cut(own.select(axis, (F.col("goal") / scale).alias("goal")))
-    for _ in range(sweeps):
-        before = w
+    for _ in range(SWEEPS):
+        off = 0.0
         for axis in axes:
-            sums = w.groupBy(axis).agg(F.sum("w").alias("s")).join(goals[axis], axis)
+            sums = cut(w.groupBy(axis).agg(F.sum("w").alias("s")).join(goals[axis], axis))
+            off = max(off, sums.agg(F.max(F.abs(F.col("goal") - F.col("s")))).first()[0] or 0.0)
             w = w.join(sums, axis).withColumn("w", F.col("w") * F.col("goal") / F.col("s")).drop("s", "goal")
         w = cut(w)
-        change = w.join(before.select(*axes, F.col("w").alias("old")), list(axes)).agg(F.max(F.abs(F.col("w") - F.col("old")))).first()[0]
-        if (change or 0) < FRAME_TOLERANCE:
+        if off < tolerance:
             break
     ratio = F.col("w") * F.lit(float(total)) / F.col("tokens")
     spent = lambda c: w.agg(F.sum(F.least(F.lit(1.0), ratio * c) * F.col("tokens"))).first()[0] or 0.0
     budget = keep * (w.agg(F.sum("tokens")).first()[0] or 0)
-    c = calibrated(spent, budget, FRAME_STEPS) if budget else 0.0
+    c = calibrated(spent, budget, STEPS) if budget else 0.0
     return w.select(*axes, F.least(F.lit(1.0), ratio * c).alias("p"))
 
 
 def chances(
-    rows: DataFrame, names: tuple[str, ...], targets: Marginals | None, keep: float, max_cells: int, frame_sweeps: int,
+    rows: DataFrame, names: tuple[str, ...], targets: Marginals | None, keep: float, max_cells: int, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """The axes and p of each cell; a broadcast is asked for where their number has been checked."""
     counts = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     found = counts.limit(max_cells + 1).collect()
     if len(found) > max_cells:
-        return _raked_frame(cut(counts), names, targets, keep, frame_sweeps)
+        return _raked_frame(cut(counts), names, targets, keep, tolerance)
     table = {tuple(r[a] for a in names): float(r.tokens) for r in found}
     sums: Marginals = {a: defaultdict(float) for a in names}
     for k, x in sorted(table.items()):
         for a, v in zip(names, k, strict=True):
             sums[a][v] += x
-    p = probabilities(table, rake(table, names, flattened(sums) | (targets or {})), keep)
+    p = probabilities(table, rake(table, names, flattened(sums) | (targets or {}), tolerance), keep)
     kinds = ", ".join(f"{a} string" for a in names) + ", p double"
     return F.broadcast(rows.sparkSession.createDataFrame([(*k, x) for k, x in p.items()], kinds))
 
@@ -171,34 +170,30 @@ def drawn(seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2**32
 
 
-def default_axes() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+def default_axes() -> dict[str, Column | None]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": None}
 
 
 def mix(
     docs: DataFrame, targets: Marginals | None = None, keep: float = KEEP, seed: int = 0,
-    weight: Column | None = None, axes: dict[str, Column] | None = None,
-    max_cells: int = MAX_CELLS, frame_sweeps: int = FRAME_SWEEPS,
+    weight: Column | None = None, axes: dict[str, Column | None] | None = None, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """doc_id, axes, tokens, p (inclusion probability) and kept of every row of ``docs``."""
-    axes = axes or default_axes()
-    names = tuple(axes)
-    rows = cells(docs, tokens() if weight is None else weight, axes)
-    out = rows.join(chances(rows, names, targets, keep, max_cells, frame_sweeps), list(names), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    names = tuple(axes or default_axes())
+    rows, _ = cells(docs, tokens() if weight is None else weight, axes or default_axes())
+    out = rows.join(chances(rows, names, targets, keep, max_cells), list(names), "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     back = [F.when(F.col(a) != NONE, F.col(a)).alias(a) for a in names]
     return out.select("doc_id", *back, "tokens", "p", (drawn(seed) < F.col("p")).alias("kept"))
 
 
 def sample(
     docs: DataFrame, targets: Marginals | None = None, keep: float = KEEP, seed: int = 0,
-    weight: Column | None = None, axes: dict[str, Column] | None = None,
-    max_cells: int = MAX_CELLS, frame_sweeps: int = FRAME_SWEEPS,
+    weight: Column | None = None, axes: dict[str, Column | None] | None = None, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps, texts and all; where cells are few, the texts stay where they are."""
-    axes = axes or default_axes()
+    counted, axes = cells(docs, tokens() if weight is None else weight, axes or default_axes())
     inner = {f"__axis_{n}": e for n, e in enumerate(axes.values())}
-    counted = cells(docs, tokens() if weight is None else weight, axes)
-    p = chances(counted, tuple(axes), targets, keep, max_cells, frame_sweeps)
+    p = chances(counted, tuple(axes), targets, keep, max_cells)
     for name, axis in zip(inner, axes, strict=True):
         p = p.withColumnRenamed(axis, name)
     keyed = docs.withColumns({name: F.coalesce(e.cast("string"), F.lit(NONE)) for name, e in inner.items()})
