@@ -10,8 +10,10 @@ A conversation log is a table of events (conv_id, seq, msg, kind, role, text):
 ``fold_events`` brings the events of a message together, sorts them by ``seq``
 and keeps the text from the last event that set it, with the deltas since.
 ``render`` then lays the final messages of a conversation out in order, and
-``parse`` reads them back. Both work within a row; the only shuffle is by
-``conv_id`` (a message's events are a subset of its conversation's).
+``parse`` reads them back. The only shuffle is by ``conv_id`` (a message's events
+are a subset of its conversation's, and the running offsets of a conversation's
+turns are a window over it). A conversation is one row in the end, so it has to
+fit a task.
 
 Template: ``<|turn|>`` role ``\\n`` text ``<|end|>`` for each turn, nothing between.
 Inside roles and texts ``~`` is written ``~0``, ``<`` ``~1``, ``[`` ``~2`` and, in
@@ -20,8 +22,8 @@ occur in them, and ``~`` pairs are undone from left to right.
 
 Defined results: a null text or role is empty; a message that only has deltas
 has the role of its first event that names one; rows that are equal in
-(seq, msg) are folded in order of kind and text; a null msg or conv_id is a
-value like any other; an empty table gives an empty result.
+(seq, msg) are folded in order of kind and text; a null msg (first) or conv_id is a
+value like any other, a null turn comes first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,39 +79,22 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, mask: code point spans [start, end) of assistant texts in ``formatted``."""
-    turns = messages.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("msg", "role", "text"))).alias("turns")
-    )
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.concat(F.lit(TURN), escape_role(t["role"]), F.lit("\n")).alias("head"),
-            escape(t["text"]).alias("body"),
-            (t["role"] == "assistant").alias("learn"),
-        ),
-    )
-    lengths = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
-    begins = F.aggregate(
-        "lengths",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
+    pieces = messages.select(
+        "conv_id", "msg", "role", "text",
+        F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")).alias("head"),
+        escape(F.col("text")).alias("body"),
+    ).withColumn("size", (F.length("head") + F.length("body") + len(END)).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("msg", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.length("head"))
+    turns = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("msg", "role", "text", "at", "head", "body"))).alias("turns")
     )
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
     spans = F.transform(
-        F.arrays_zip("pieces", "begins"),
-        lambda z: F.struct(
-            (z["begins"] + F.length(z["pieces"]["head"])).alias("start"),
-            (z["begins"] + F.length(z["pieces"]["head"]) + F.length(z["pieces"]["body"])).alias("end"),
-            z["pieces"]["learn"].alias("learn"),
-        ),
-    )
-    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return (
-        turns.select("conv_id", pieces.alias("pieces"))
-        .withColumn("lengths", lengths)
-        .withColumn("begins", begins)
-        .select("conv_id", whole.alias("formatted"), F.filter(spans, lambda s: s["learn"]).alias("mask"))
+        F.filter("turns", lambda t: t["role"] == "assistant"),
+        lambda t: F.struct(t["at"].cast("int").alias("start"), (t["at"] + F.length(t["body"])).cast("int").alias("end")),
     )
+    return turns.select("conv_id", whole.alias("formatted"), spans.alias("mask"))
 
 
 def parse(formatted: Column) -> Column:

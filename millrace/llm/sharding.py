@@ -3,7 +3,10 @@
 Documents with equal texts form one atomic group. Groups are ordered by the
 64-bit hash of their text, and the ordered line is cut into contiguous shards so
 that the largest shard is as small as it can be: the smallest feasible capacity
-is found by binary search, each candidate checked by a greedy walk.
+is found by binary search, each candidate checked by a greedy walk. Within that
+capacity the greedy walk from the left gives the latest place of each cut, one
+from the right the earliest; each cut is moved to the place between them that is
+nearest the even share, so that the last shards aren't left small.
 
 The line of groups is never collected. The driver holds it as segments (ranges
 of the hash with their total), at most ``2 ** SEGMENT_BITS`` from the first
@@ -187,7 +190,7 @@ def partition_line(rows: DataFrame, shards: int = SHARDS) -> tuple[list[int], li
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
-    rows = materialise(sized(docs), "shard-line")
+    rows = materialise(sized(docs).withColumn("row", F.monotonically_increasing_id()), "shard-line")
     alone, last, _ = partition_line(rows, shards)
     shard = F.lit(len(alone))
     # a sorted list of at most `shards` cut keys: counted by expressions, no join
@@ -197,13 +200,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         shard = F.when(F.col("key") == F.lit(key), F.lit(n)).otherwise(shard)
     rows = rows.withColumn("shard", shard.cast("int"))
     cells = 4 * max(1, math.ceil(rows.count() / (shards * CELL_ROWS)))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.lit(cells)).cast("int"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("shard", "cell").count()
         .select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     )
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32")
+    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "row")
     return (
         rows.withColumn("n", F.row_number().over(within))
         .join(offsets, ["shard", "cell"])

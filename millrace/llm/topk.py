@@ -19,7 +19,7 @@ Defined results: vectors that are null, empty or hold a null or non-finite
 component take no part, nor do rows with a null id; ties go to the smaller id;
 a query isn't its own candidate, and neither is another row with its id;
 queries with the same id are one query (the row that is first by vector);
-repeated candidate rows each count. Vectors of unlike length meet on the
+repeated candidate rows each count (k of them, as more can't be among the best). Vectors of unlike length meet on the
 components that both have. An empty side gives an empty result.
 """
 
@@ -98,8 +98,8 @@ def accumulate(ids: np.ndarray, weights: list[np.ndarray], qids: np.ndarray, que
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
-def _blocks(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def _blocks(n: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
 def top_k(
@@ -108,11 +108,14 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``candidates`` for each row of ``queries`` (both: id, w)."""
     queries = queries.groupBy("id").agg(F.min("w").alias("w"))
+    # equal rows are counted map-side, and no more than k of them are dealt out
+    alike = candidates.groupBy("id", "w").agg(F.count("*").alias("n"))
+    candidates = alike.select("id", "w", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy"))
     ncand = max(1, math.ceil(candidates.count() / candidate_rows))
     nquery = max(1, math.ceil(queries.count() / query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = candidates.withColumn("cb", _blocks(F.col("id"), ncand)).withColumn("qb", every(nquery))
-    q = queries.withColumn("qb", _blocks(F.col("id"), nquery)).withColumn("cb", every(ncand))
+    c = candidates.withColumn("cb", _blocks(ncand, "id", "w", "copy")).drop("copy").withColumn("qb", every(nquery))
+    q = queries.withColumn("qb", _blocks(nquery, "id")).withColumn("cb", every(ncand))
 
     def search(cs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(cs) or not len(qs):
