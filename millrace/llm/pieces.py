@@ -25,6 +25,7 @@ ignored, as the function says.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from millrace.llm.textkit import sent_in_parts
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments and pairs kept by a worker, and the longest segment that is kept.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 100_000, 200_000, 48
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 48
 #: Stands before the first piece of a segment (below the complement of any code point).
 NONE = -0x200000
 
@@ -68,6 +69,12 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, v
 
 
+def _halve(cache: dict) -> None:
+    """Drop the older half, in place."""
+    for key in list(itertools.islice(cache, len(cache) // 2)):
+        del cache[key]
+
+
 class Codec:
     def __init__(self, model: bytes):
         import ahocorasick
@@ -126,7 +133,7 @@ class Codec:
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
+                _halve(self.pairs)
             a = "" if before == NONE else self.pieces[before] if before >= 0 else chr(~before)
             b = self.pieces[piece]
             ok = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
@@ -172,7 +179,7 @@ class Codec:
         got = (",".join([self.decimal[i] for i in ids]), self.text_of(ids))
         if len(text) <= CACHE_CHARS:
             if len(self.kept) >= CACHE_SEGMENTS:
-                self.kept.clear()
+                _halve(self.kept)
             self.kept[text] = got
         return got
 
