@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Prefixes of tags that are shown, words that end a label, words that are no terms.
 TAG_PREFIXES = ("author_tag_", "content_")
-STOP_WORDS = "the and for with this that from are was not you all can has have but his her its they them world worlds".split()
+STOP_WORDS = "and are for from has have https into just like new not official the this that with world worlds www".split()
 SUFFIX_WORDS = "world worlds room map hub place".split()
 
 
@@ -135,10 +135,15 @@ def bad_label(label: Column) -> Column:
     return (F.length(key) < 3) | key.rlike(r"^(?:untitled|unknown|none|n a|cluster \d+|mixed|various)$")
 
 
-def terms(text: Column, most: int = 80) -> Column:
-    """Latin words of three letters or more, CJK runs of two or more, without stop words and numbers; the first 80."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z0-9]{2,}|[぀-ヿ一-鿿가-힯]{2,})"), 1)
-    return F.slice(F.filter(found, lambda w: ~w.isin(STOP_WORDS)), 1, most)
+#: A word of three characters or more (digits, apostrophes, hyphens and underscores in it), or a run of two or more kana or ideographs.
+TERM = r"([a-z0-9][a-z0-9'_-]{2,}|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]{2,})"
+
+
+def terms(text: Column, most: int | None = None, stop: list[str] = STOP_WORDS) -> Column:
+    """Words of a text in order, without stop words and numbers; of the whole text, unless ``most`` is given."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), 1)
+    kept = F.filter(found, lambda w: ~w.isin(stop) & ~w.rlike("^[0-9]+$"))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def parsed_label(raw: Column) -> Column:

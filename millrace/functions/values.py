@@ -108,3 +108,41 @@ def http_class(status: Column) -> Column:
         F.when(status.isNull(), "timeout").when(status == 401, "auth").when(status == 404, "gone").when(status == 429, "rate_limited")
         .when(status.isin(500, 502, 503), "server").when(status >= 400, "client").otherwise("ok")
     )
+
+
+def zipped_ring(xs: Column, ys: Column) -> Column:
+    """Two coordinate lists as a ring; null with fewer than three corners."""
+    n = F.least(F.size(xs), F.size(ys))
+    ring = F.zip_with(F.slice(xs, F.lit(1), n), F.slice(ys, F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.when(n >= 3, ring)
+
+
+def affine(x: Column, origin: Column, scale: Column) -> Column:
+    return (x - origin) * scale
+
+
+def affine_back(u: Column, origin: Column, scale: Column) -> Column:
+    return u / scale + origin
+
+
+def names_path(names: Column) -> Column:
+    """Names from coarse to fine without nulls and without one that repeats the one before."""
+    some = F.filter(names, lambda x: x.isNotNull())
+    return F.aggregate(some, F.array().cast("array<string>"), lambda a, x: F.when(F.try_element_at(a, F.lit(-1)).eqNullSafe(x), a).otherwise(F.concat(a, F.array(x))))
+
+
+def json_list(text: Column) -> Column:
+    """A JSON array as a list of strings, null where it isn't one."""
+    kind = "array<string>"
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, kind))
+
+
+def connection(url: Column) -> Column:
+    """struct<url, attach>: a database URL (driver://user:password@host:port/name) for JDBC, and as an attach string."""
+    pattern = r"^([a-z]+)(?:\+[a-z0-9]+)?://([^:@/]*):?([^@/]*)@([^:/]+):?([0-9]*)/([^?]+)"
+    part = lambda n: F.regexp_extract(url, pattern, n)
+    port = F.coalesce(F.nullif(part(5), F.lit("")), F.lit("3306"))
+    return F.struct(
+        F.concat(F.lit("jdbc:"), part(1), F.lit("://"), part(4), F.lit(":"), port, F.lit("/"), part(6)).alias("url"),
+        F.concat(F.lit("host="), part(4), F.lit(" port="), port, F.lit(" user="), part(2), F.lit(" passwd="), part(3), F.lit(" database="), part(6)).alias("attach"),
+    )

@@ -91,10 +91,10 @@ def standardised(df: DataFrame, columns: list[str], least: float = 1e-6) -> Data
 
 
 def keyphrases(docs: DataFrame, group: str, terms: Column, most: int) -> DataFrame:
-    """group, term, score, rank: terms once, pairs of neighbours at 1.6, at least two occurrences, by (score, term)."""
+    """group, term, score, rank: terms once, pairs of unlike neighbours at 1.6, at least two occurrences, by (score, term)."""
     t = docs.select(group, terms.alias("t"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.get("t", i - 1), F.get("t", i)))
-    grams = F.concat("t", F.when(F.size("t") > 1, pair).otherwise(F.array().cast("array<string>")))
+    pair = F.filter(F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.when(a != b, F.concat_ws(" ", a, b))), lambda p: p.isNotNull())
+    grams = F.concat("t", pair)
     n = t.select(group, F.explode(grams).alias("term")).groupBy(group, "term").agg(F.count("*").alias("n")).where("n >= 2")
     score = F.when(F.contains("term", F.lit(" ")), F.col("n") * 1.6).otherwise(F.col("n") * 1.0)
     w = Window.partitionBy(group).orderBy(F.desc("score"), "term")

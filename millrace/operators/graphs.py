@@ -36,20 +36,37 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of (a, b, w) by Borůvka: each component takes its lightest way out, ties by (w, a, b)."""
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")))
-    label = vertices.select("id", F.col("id").alias("component")).distinct()
+    """Minimum spanning forest of (a, b, w) by Borůvka: each component takes its lightest way out, ties by (w, a, b).
+
+    After a round the edges carry the names of the merged components, those inside
+    one are dropped, and of several between two only the lightest stays; so the
+    rounds work on ever fewer rows. ``vertices`` says which ids there are.
+    """
+    known = vertices.select("id").distinct()
+    of = lambda end: known.withColumnRenamed("id", end)
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").where("a <> b").join(of("a"), "a", "left_semi").join(of("b"), "b", "left_semi")
+    e = cut(e.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("way")))
     chosen = None
     while True:
-        of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        across = e.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-        ways = across.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b").alias("way"))
-        best = cut(ways.groupBy("c").agg(F.min("way").alias("way")).select("way.*").distinct())
+        out = e.select(F.inline(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("to"), "way"), F.struct(F.col("cb").alias("c"), F.col("ca").alias("to"), "way"))))
+        best = cut(out.groupBy("c").agg(F.min(F.struct("way", "to")).alias("m")).select("c", "m.way", "m.to"))
         if best.isEmpty():
             break
-        chosen = best if chosen is None else cut(chosen.unionByName(best))
-        label = cut(connected_components(vertices, chosen))
-    return chosen if chosen is not None else e.limit(0).select("w", "a", "b")
+        picked = best.select("way.*").distinct()
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        # two components that chose each other: the smaller is the root; all others hang on the one they chose
+        up = cut(best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")))
+        while True:
+            top = up.select(F.col("c").alias("up"), F.col("up").alias("top"))
+            higher = cut(up.join(top, "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            up = higher.drop("moved")
+            if higher.where("moved").isEmpty():
+                break
+        name = lambda end: up.select(F.col("c").alias(end), F.col("up").alias(f"n{end}"))
+        across = e.join(name("ca"), "ca").join(name("cb"), "cb").where("nca <> ncb")
+        e = cut(across.groupBy(F.least("nca", "ncb").alias("ca"), F.greatest("nca", "ncb").alias("cb")).agg(F.min("way").alias("way")))
+    return cut(chosen) if chosen is not None else edges.select("w", "a", "b").limit(0)
 
 
 def extra_edges(tree: DataFrame, edges: DataFrame, share: float, longest: float) -> DataFrame:
@@ -107,3 +124,42 @@ def consecutive(points: DataFrame, line: str, order: str) -> DataFrame:
     """Segments between neighbours along each line of (line, order, x, y)."""
     w = Window.partitionBy(line).orderBy(order)
     return points.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 IS NOT NULL")
+
+
+def shortest(near: dict[int, dict[int, float]], start: int) -> dict[int, tuple[float, int | None]]:
+    """(distance, previous node) of every node that can be reached; among equal ways the one over the smaller node."""
+    best: dict[int, tuple[float, int | None]] = {start: (0.0, None)}
+    queue, done = [(0.0, start)], set()
+    while queue:
+        d, x = heapq.heappop(queue)
+        if x in done:
+            continue
+        done.add(x)
+        for y, w in sorted(near.get(x, {}).items()):
+            way = (round(d + w, 9), x)
+            if y not in done and (y not in best or way < (best[y][0], best[y][1])):
+                best[y] = way
+                heapq.heappush(queue, (way[0], y))
+    return best
+
+
+def paths_between(edges: DataFrame, major: DataFrame, group: str) -> DataFrame:
+    """group, a, b, uses: edges of (group, a, b, w) on the shortest ways between all pairs of the group's major nodes (group, v: array); a group is one local network."""
+    kind = dict(edges.dtypes)
+
+    def go(key: tuple, rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, dict[int, float]] = {}
+        for a, b, w in zip(rows["a"].tolist(), rows["b"].tolist(), rows["w"].tolist(), strict=True):
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+        uses: dict[tuple[int, int], int] = {}
+        nodes = sorted(int(v) for vs in tops["v"] for v in vs)
+        for i, start in enumerate(nodes):
+            best = shortest(near, start)
+            for x in nodes[i + 1 :]:
+                while x in best and best[x][1] is not None:
+                    y = best[x][1]
+                    uses[min(x, y), max(x, y)] = uses.get((min(x, y), max(x, y)), 0) + 1
+                    x = y
+        return pd.DataFrame([(key[0], a, b, n) for (a, b), n in sorted(uses.items())], columns=[group, "a", "b", "uses"])
+
+    return edges.groupBy(group).cogroup(major.groupBy(group)).applyInPandas(go, f"{group} {kind[group]}, a {kind['a']}, b {kind['b']}, uses long")

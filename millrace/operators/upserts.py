@@ -89,16 +89,26 @@ def write_full(current: DataFrame, metrics: DataFrame, files: DataFrame, batch:
 
 
 def file_results(files: DataFrame, images: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Next files and images from results (file_id, payload, status, error); a changed MD5 sends the image back to pending."""
+    """Next files and images from results (file_id, payload, status, error).
+
+    A file keeps its payload only where the result is a success. The highest
+    version of an image file (all files, without a column file_type) gets an
+    image row; one that is there starts again if its MD5 has changed.
+    """
     r = results.select("file_id", F.col("payload").alias("p"), F.col("status").alias("s"), F.col("error").alias("e"))
     hit = F.col("s").isNotNull()
+    extra = [c for c in files.columns if c == "file_type"]
     next_files = files.join(r, "file_id", "left").select(
-        "id", "file_id", "version", F.coalesce("s", "status").alias("status"), F.coalesce("p", "payload").alias("payload"),
+        "id", "file_id", "version", *extra, F.coalesce("s", "status").alias("status"),
+        F.when(hit, F.when(F.col("s") == SUCCESS, F.col("p"))).otherwise(F.col("payload")).alias("payload"),
         F.when(hit, now).otherwise(F.col("last_scrape")).alias("last_scrape"), F.when(hit, F.col("e")).otherwise(F.col("error")).alias("error"),
     )
+    shown = files.where("file_type = 'IMAGE'") if extra else files
+    known = shown.select("file_id").distinct()
     top = V.highest_version(V.versions(F.col("p")))
-    got = r.where(F.col("s") == SUCCESS).select("file_id", top["version"].alias("v"), top["file"]["md5"].alias("m")).where("v IS NOT NULL")
-    both = images.join(got.withColumnRenamed("v", "version"), ["file_id", "version"], "full")
+    got = r.where(F.col("s") == SUCCESS).join(known, "file_id", "left_semi").select("file_id", top.alias("t")).where("t.version IS NOT NULL AND t.file IS NOT NULL")
+    got = got.select("file_id", F.col("t.version").alias("version"), F.coalesce("t.file.md5", F.lit("")).alias("m"))
+    both = images.join(got, ["file_id", "version"], "full")
     again = F.col("m").isNotNull() & ~F.col("m").eqNullSafe(F.col("md5"))
     next_images = both.select(
         "file_id", "version", F.coalesce("m", "md5").alias("md5"), F.when(again, None).otherwise(F.col("sha256")).alias("sha256"),
@@ -128,3 +138,12 @@ def due(worlds: DataFrame, metrics: DataFrame, now: Column) -> DataFrame:
 def pending_images(files: DataFrame, images: DataFrame) -> DataFrame:
     done = files.where(F.col("status") == SUCCESS).select("file_id").distinct()
     return images.where(F.col("state") == PENDING).join(done, "file_id", "left_semi")
+
+
+def drained(worlds: DataFrame, files: DataFrame, images: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ids that a one-shot run handles at each stage: at most ``most`` pending worlds by id, then all pending files of visited worlds, then all pending images of read files."""
+    first = worlds.where(F.col("status") == PENDING).orderBy("id").limit(most).select("id")
+    visited = worlds.where(F.col("status") == SUCCESS).select("id").unionByName(first)
+    read = files.where(F.col("status") == PENDING).join(visited, "id", "left_semi")
+    done = files.where(F.col("status") == SUCCESS).select("file_id").unionByName(read.select("file_id")).distinct()
+    return first, read.select("id", "file_id"), images.where(F.col("state") == PENDING).join(done, "file_id", "left_semi").select("file_id", "version")

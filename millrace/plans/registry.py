@@ -35,4 +35,4 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     return dict(QUERIES), dict(SQL)
 
 
-MODULES: list[str] = ["relational", "scalar", "vectors", "state", "layouts"]
+MODULES: list[str] = ["relational", "scalar", "vectors", "state", "layouts", "placing", "grids", "hierarchy", "ingest", "files"]

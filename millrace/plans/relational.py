@@ -222,7 +222,7 @@ def compact_ids(spark: SparkSession, d: str) -> DataFrame:
 pick AS (SELECT event_type, n, unnest(range(0, 70)) AS j FROM (SELECT DISTINCT event_type, n FROM r))
 SELECT DISTINCT r.event_type, event_id FROM r JOIN pick p ON r.event_type = p.event_type AND r.i = (p.j * (p.n - 1)) // 69""")
 def evenly_spaced_sample(spark: SparkSession, d: str) -> DataFrame:
-    return R.evenly_spaced(t(spark, d, "events"), ["event_type"], 70, F.col("ts"), F.col("event_id")).select("event_type", "event_id")
+    return R.evenly_spaced(t(spark, d, "events").select("event_type", "event_id", "ts"), ["event_type"], 70, "ts", "event_id").select("event_type", "event_id")
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('s|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500""")
@@ -243,11 +243,10 @@ def multi_axis_totals(spark: SparkSession, d: str) -> DataFrame:
  round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
 def grouped_stats(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank p95, median, maximum and coefficient of variation, by kind and in total."""
-    return t(spark, d, "lineitem").rollup("l_returnflag").agg(
-        F.count("*").alias("n"), F.round(F.median("l_extendedprice"), 6).alias("med"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p95"), F.max("l_extendedprice").alias("top"),
-        F.round(F.stddev_pop("l_quantity") / F.avg("l_quantity"), 6).alias("cv"),
-    ).select(F.coalesce("l_returnflag", F.lit("(all)")).alias("kind"), "n", "med", "p95", "top", "cv")
+    line = t(spark, d, "lineitem").select("l_extendedprice", "l_quantity", F.explode(F.array(F.coalesce("l_returnflag", F.lit("(null)")), F.lit("(all)"))).alias("kind"))
+    ranks = R.order_statistics(line, ["kind"], "l_extendedprice", med=("cont", 0.5), p95=("disc", 0.95))
+    rest = line.groupBy("kind").agg(F.max("l_extendedprice").alias("top"), F.round(F.stddev_pop("l_quantity") / F.avg("l_quantity"), 6).alias("cv"))
+    return ranks.join(rest, "kind").select("kind", "n", F.round("med", 6).alias("med"), "p95", "top", "cv")
 
 
 @query("""SELECT round(corr(x, y), 5) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x,
@@ -257,9 +256,7 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
 
     def ranks(column: str, name: str) -> DataFrame:
-        by = rows.groupBy(column).agg(F.count("*").alias("c"))
-        below = F.coalesce(F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return by.select(column, (below + (F.col("c") + 1) / 2).alias(name))
+        return R.cumulative(rows, [], column).select(column, (F.col("below") + (F.col("c") + 1) / 2).alias(name))
 
     both = rows.join(ranks("l_quantity", "x"), "l_quantity").join(ranks("l_extendedprice", "y"), "l_extendedprice")
     return both.agg(F.round(F.corr("x", "y"), 5).alias("rho"), F.count("*").alias("n"))

@@ -120,9 +120,9 @@ def weighted_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", score.alias("score")).orderBy(F.desc_nulls_last("score"), "doc_id").limit(50)
 
 
-@query("""WITH w AS (SELECT doc_id, lang, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '([a-z][a-z0-9]{2,}|[぀-ヿ一-鿿가-힯]{2,})', 1), lambda x: NOT list_contains(STOPS, x)), 1, 80)) AS term FROM documents),
+@query("""WITH w AS (SELECT doc_id, lang, unnest(list_filter(regexp_extract_all(lower(text), 'TERM', 1), lambda x: NOT list_contains(STOPS, x) AND NOT regexp_full_match(x, '[0-9]+'))) AS term FROM documents),
 c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT lang, term, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 8""".replace("STOPS", str(T.STOP_WORDS)))
+SELECT lang, term, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 8""".replace("STOPS", str(T.STOP_WORDS)).replace("TERM", T.TERM.replace("'", "''")))
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
     w = t(spark, d, "documents").select("lang", F.explode(T.terms(F.col("text"))).alias("term"))
     c = w.groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 2")

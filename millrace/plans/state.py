@@ -71,40 +71,35 @@ def due_for_visit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_log(spark: SparkSession, d: str) -> DataFrame:
-    """Events as calls by user; errors and views fail."""
+    """Events as calls by user, answered after some seconds; all but purchases and logins fail."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return t(spark, d, "events").select((F.col("user_id") % 3).alias("key"), at.alias("ts"), (~F.col("event_type").isin("error", "view", "click")).alias("ok"))
+    return t(spark, d, "events").select(
+        F.col("user_id").cast("long").alias("key"), at.alias("ts"), (~F.col("event_type").isin("error", "view", "click")).alias("ok"), (F.col("event_id") % 7 * 0.25).alias("took")
+    )
 
 
 @query()
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each user's calls behind the breaker."""
     return control.replay(call_log(spark, d)).groupBy("key", "fate", "state").count()
 
 
 @query()
 def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as G
-
+    """The limiter's rate and waits over each user's calls."""
     r = control.replay(call_log(spark, d))
-    return r.groupBy("key").agg(G.round(G.min("rate"), 6).alias("low"), G.round(G.max("rate"), 6).alias("high"), G.count("*").alias("n"))
+    return r.groupBy("key", "turn").agg(F.round(F.min("rate"), 6).alias("low"), F.round(F.max("rate"), 6).alias("high"), F.round(F.max("wait"), 6).alias("longest_wait"), F.count("*").alias("n"))
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Daily windows of event time over a file stream, all of it drained; equals the batch result."""
+    """Daily windows of event time over a file stream, all of it drained; the last figures of each window equal the batch result."""
     spot = f"{shared_dir(spark)}/millrace-stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{d}/events.parquet")
-    stream = queues.read_files(spark, f"{d}/events.parquet*", source.schema)
-
-    def sink(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{spot}/out/batch={n}")
-
-    by = stream.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    rows = by.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "top")
-    rows.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{spot}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{spot}/out")
-    last = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(last), "batch").drop("batch")
+    stream = queues.read_files(spark, f"{d}/events.parquet*", source.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    queues.latest_windows(stream, "1 day", "60 days", f"{spot}/out", f"{spot}/state")
+    last = spark.read.parquet(f"{spot}/out").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "top"), "batch").alias("v"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "v.n", "v.top")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'SUCCESS' ELSE 'PENDING' END AS status FROM orders WHERE o_orderkey % 4 <> 0""")

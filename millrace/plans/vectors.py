@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -11,7 +11,9 @@ from millrace.operators import clusters as C
 from millrace.operators import graphs as G
 from millrace.operators import ranking as R
 from millrace.operators import spatial as S
+from millrace.operators import trees as H
 from millrace.plans.registry import query
+from millrace.session import cut
 from millrace.session import table as t
 
 E_SQL = "e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT id, label, v[1] AS x, v[2] AS y FROM e)"
@@ -83,22 +85,19 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {E_SQL}, {NEAR}, o AS (SELECT w FROM nn WHERE rank = 1) SELECT round(quantile_cont(w, 0.5), 9) AS q50, round(quantile_cont(w, 0.99), 9) AS q99, round(min(w), 9) AS low, round(quantile_cont(1 / greatest(w, 1e-9) ** 2, 0.99) / quantile_cont(1 / greatest(w, 1e-9) ** 2, 0.5), 6) AS pressure FROM o")
 def density_pressure(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of the nearest distance, and the pressure of the densest places."""
-    o = S.nearest(points(spark, d), 1, 0.02).withColumn("r", 1 / F.greatest("w", F.lit(1e-9)) ** 2)
-    q = lambda c, x: F.percentile(c, F.lit(x))
-    return o.agg(F.round(q("w", 0.5), 9).alias("q50"), F.round(q("w", 0.99), 9).alias("q99"), F.round(F.min("w"), 9).alias("low"), F.round(q("r", 0.99) / q("r", 0.5), 6).alias("pressure"))
+    o = cut(S.nearest(points(spark, d), 1, 0.02).select("w", (1 / F.greatest("w", F.lit(1e-9)) ** 2).alias("r")))
+    w = R.order_statistics(o, [], "w", q50=("cont", 0.5), q99=("cont", 0.99), low=("at", 0))
+    r = R.order_statistics(o, [], "r", r50=("cont", 0.5), r99=("cont", 0.99)).select("r50", "r99")  # one row
+    return w.join(F.broadcast(r)).select(F.round("q50", 9).alias("q50"), F.round("q99", 9).alias("q99"), F.round("low", 9).alias("low"), F.round(F.col("r99") / F.col("r50"), 6).alias("pressure"))
 
 
 @query(f"""WITH {E_SQL}, {NEAR}, hi AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product({UNIT.format('a.v')}, {UNIT.format('b.v')}), 9) DESC, b.id) AS rank
- FROM (SELECT * FROM e ORDER BY md5('recall|' || CAST(id AS VARCHAR)), id LIMIT 60) a JOIN e b ON a.id <> b.id)
+ FROM e a JOIN e b ON a.id <> b.id)
 SELECT hi.id, CAST(count(nn.other) AS BIGINT) AS common FROM hi LEFT JOIN nn ON nn.id = hi.id AND nn.other = hi.other AND nn.rank <= 10 WHERE hi.rank <= 10 GROUP BY hi.id""")
 def knn_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours that the map keeps of those in full space, for a seeded sample of 60 points."""
-    v = vectors(spark, d).select("id", V.unit(F.col("v")).alias("u"))
-    some = R.sample_rows(v, 60, "id", salt="recall").agg(F.collect_list(F.struct(F.col("id").alias("q"), F.col("u").alias("qu"))).alias("some"))
-    s = v.join(F.broadcast(some)).select("id", "u", F.inline("some")).where("q <> id").withColumn("s", F.round(V.dot(F.col("qu"), F.col("u")), 9))
-    high = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("r <= 10").groupBy("q").agg(F.collect_set("id").alias("hi"))
-    low = S.nearest(points(spark, d), 10, 0.05).groupBy(F.col("id").alias("q")).agg(F.collect_set("other").alias("lo"))
-    return high.join(low, "q").select(F.col("q").alias("id"), F.size(F.array_intersect("hi", "lo")).cast("long").alias("common"))
+    """Neighbours that the map keeps of those in full space, for every point."""
+    low = S.nearest(points(spark, d), 10, 0.05).groupBy("id").agg(F.collect_set("other").alias("lo"))
+    return H.neighbours(vectors(spark, d), "id", "v", 10).join(low, "id").select("id", F.size(F.array_intersect("hi", "lo")).cast("long").alias("common"))
 
 
 @query(f"WITH {E_SQL} SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) AS w FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02")
@@ -239,12 +238,13 @@ def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {E_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY x, id) AS i, row_number() OVER (ORDER BY y, id) AS j, count(*) OVER () AS n FROM p), c AS (SELECT *, CAST(floor(n * 0.06) AS BIGINT) AS k FROM r) SELECT min(x) FILTER (i > k) AS x0, max(x) FILTER (i <= n - k) AS x1, min(y) FILTER (j > k) AS y0, max(y) FILTER (j <= n - k) AS y1 FROM c")
 def trimmed_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds without six hundredths at either end of each axis, from exact order statistics rather than one sorted partition."""
+    """Bounds without six hundredths at either end of each axis, from counted values rather than one sorted partition."""
     p = points(spark, d)
     n = p.count()
     k = int(n * 0.06) if n >= 24 else 0
-    at = lambda c, i: F.expr(f"percentile_disc({(i + 0.5) / max(n, 1)}) WITHIN GROUP (ORDER BY {c})")
-    return p.agg(at("x", k).alias("x0"), at("x", n - 1 - k).alias("x1"), at("y", k).alias("y0"), at("y", n - 1 - k).alias("y1"))
+    x = R.order_statistics(p, [], "x", x0=("at", k), x1=("at", -1 - k)).select("x0", "x1")
+    y = R.order_statistics(p, [], "y", y0=("at", k), y1=("at", -1 - k)).select("y0", "y1")  # one row
+    return x.join(F.broadcast(y))
 
 
 @query(f"WITH {E_SQL} SELECT id FROM p WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.1 AND 0.1 ORDER BY id % 97 DESC, id LIMIT 27")
@@ -262,6 +262,9 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).groupBy("label").agg(F.round(angle, 6).alias("angle"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), 'TERM', 1), lambda x: NOT list_contains(STOPS, x) AND NOT regexp_full_match(x, '[0-9]+')) AS t FROM documents),
+g AS (SELECT lang, unnest(t) AS term, 1.0::DOUBLE AS s FROM w UNION ALL SELECT lang, unnest(list_filter(list_transform(t, lambda x, i: CASE WHEN i < len(t) AND t[i + 1] <> x THEN x || ' ' || t[i + 1] END), lambda p: p IS NOT NULL)), 1.6 FROM w),
+c AS (SELECT lang, term, round(count(*) * max(s), 4) AS score FROM g GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT lang, term, score, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 6""".replace("STOPS", str(T.STOP_WORDS)).replace("TERM", T.TERM.replace("'", "''")))
 def keyphrases(spark: SparkSession, d: str) -> DataFrame:
     return C.keyphrases(t(spark, d, "documents"), "lang", T.terms(F.col("text")), 6)

@@ -30,19 +30,56 @@ def ids(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where(F.startswith("id", F.lit(prefix))).distinct()
 
 
-def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_documents(spark: SparkSession, path: str, schema: str, by_line: bool = False) -> DataFrame:
+    """A document (or a list of them) a file, or one a line."""
+    return spark.read.schema(schema).json(path, multiLine=not by_line)
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row a feature: properties, and the outer ring as array<struct<x, y>> (first polygon of a multipolygon)."""
-    rows = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    polygon = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    multi = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    ring = F.when(F.col("f.geometry.type") == "MultiPolygon", F.get(F.get(multi, F.lit(0)), F.lit(0))).otherwise(F.get(polygon, F.lit(0)))
-    xy = F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    # rings are closed in files and open in the library
-    return rows.select(F.col("f.properties").alias("properties"), F.slice(xy, F.lit(1), F.size(xy) - 1).alias("ring"))
+    """One row a ring: properties, feature, polygon and ring numbers, and the ring as array<struct<x, y>>; ring 0 is the outer one, the others are holes.
+
+    Rings are closed in files and open in the library. A feature that is no polygon has no rows.
+    """
+    rows = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.posexplode("features").alias("feature", "f"))
+    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+    many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+    kind = F.col("f.geometry.type")
+    polygons = rows.select("feature", F.col("f.properties").alias("properties"), F.posexplode(F.when(kind == "MultiPolygon", many).when(kind == "Polygon", F.array(one))).alias("polygon", "rings"))
+    rings = polygons.select("properties", "feature", "polygon", F.posexplode("rings").alias("ring_no", "r"))
+    xy = F.transform("r", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return rings.select("properties", "feature", "polygon", "ring_no", F.slice(xy, F.lit(1), F.size(xy) - 1).alias("ring"))
+
+
+def described(df: DataFrame, table: str) -> DataFrame:
+    """table, place, name, kind of the columns."""
+    rows = [(table, n, f.name, f.dataType.simpleString()) for n, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "table string, place int, name string, kind string")
+
+
+def jdbc_tables(spark: SparkSession, url: str, names: list[str], **options: str) -> dict[str, DataFrame]:
+    """Tables of a database, each scanned by what a query asks of it: filters and columns go to the source."""
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+
+
+def rasters(spark: SparkSession, path: str) -> DataFrame:
+    """file, field, row, col, value of the two-dimensional arrays in NumPy archives; a file is read by one task."""
+
+    def go(parts):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for rows in parts:
+            for name, content in zip(rows["path"], rows["content"], strict=True):
+                with np.load(io.BytesIO(content)) as z:
+                    for field in sorted(z.files):
+                        if z[field].ndim == 2:
+                            r, c = np.indices(z[field].shape)
+                            yield pd.DataFrame({"file": name, "field": field, "row": r.ravel(), "col": c.ravel(), "value": z[field].astype(float).ravel()})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(go, "file string, field string, row long, col long, value double")
 
 
 def blobs(spark: SparkSession, root: str, digests: DataFrame) -> DataFrame:

@@ -44,3 +44,26 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
 def deduplicated(stream: DataFrame, key: list[str], late: str) -> DataFrame:
     """Replays of a key within the watermark are dropped."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+
+
+def discover(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str) -> None:
+    """Append the ids of each batch that aren't in ``table`` yet, as pending; a batch repeated writes its own folder again."""
+
+    def sink(batch: DataFrame, n: int) -> None:
+        new = batch.select("id").distinct()
+        if n:
+            known = spark.read.schema("id string, batch int").parquet(table).where(F.col("batch") < n)
+            new = new.join(known.select("id"), "id", "left_anti")
+        new.withColumn("status", F.lit(upserts.PENDING)).write.mode("overwrite").parquet(f"{table}/batch={n}")
+
+    drain(stream, sink, checkpoint)
+
+
+def latest_windows(stream: DataFrame, width: str, late: str, out: str, checkpoint: str) -> None:
+    """Windows of event time that change in a batch, written to ``out``/batch=n; the state holds windows within the watermark only."""
+
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    rows = tumbling(stream, width, late)
+    rows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -82,7 +82,7 @@ def test_unit_of_zero(spark):
 
 def test_evenly_spaced(spark):
     rows = spark.range(1000).withColumn("k", F.lit(0))
-    got = sorted(r.id for r in ranking.evenly_spaced(rows, ["k"], 7, F.col("id")).collect())
+    got = sorted(r.id for r in ranking.evenly_spaced(rows, ["k"], 7, "id").collect())
     assert got == [i * 999 // 6 for i in range(7)]
 
 
@@ -146,11 +146,92 @@ def test_breaker():
     assert b.step(20.0, True) == "passed" and b.state == control.CLOSED and b.backoff == 5.0
 
 
-def test_limiter_floor_and_cap():
-    limit = control.Limiter()
-    for i in range(200):
-        r = limit.step(i * 0.1, i % 2 == 0)
-        assert r >= limit.floor
+def test_breaker_trial_comes_after_the_back_off():
+    b = control.Breaker()
+    for i in range(5):
+        b.failed(float(i))
+    assert b.wait(9.0) == 0.0 and b.state == control.OPEN and b.step(9.0, True) == "blocked"
+    assert b.wait(8.0) == 1.0 and b.wait(9.1) == 0.0 and b.state == control.HALF_OPEN
+    for n in range(9):
+        b.failed(10.0)
+        assert b.backoff == min(300.0, 5.0 * 2 ** (n + 1))
+        assert b.wait(10.0 + b.backoff + 0.1) == 0.0
+    b.succeeded()
+    assert b.state == control.CLOSED and b.backoff == 5.0
+
+
+def test_limiter_paces_and_samples():
+    limit = control.Limiter(0.0, rate=2.0)
+    assert limit.wait(1.0) == 0.0
+    limit.sent(1, 1.0)
+    assert limit.wait(1.1) == pytest.approx(0.4) and limit.wait(1.5) == 0.0
+    for n, at in enumerate((1.5, 2.0, 2.5)):
+        limit.sent(n + 2, at)
+    for n, at in enumerate((2.6, 2.7, 2.8, 2.9)):
+        limit.succeeded(n + 1, at)
+    assert limit.latency.value == pytest.approx(0.4)  # the last call: 2.5 to 2.9
+    assert limit.rate == pytest.approx(4 / 2.9)  # four answers since the last call was sent, over the time since the answer before it
+
+
+def test_limiter_window_is_a_maximum_that_expires():
+    best = control.Best(2.0, 1, 10.0)
+    for at, x in ((0.0, 5.0), (1.0, 3.0), (9.0, 4.0)):
+        best.add(x, at)
+    assert best.value == 5.0
+    best.add(1.0, 10.5)
+    assert best.value == 4.0
+    least = control.Best(0.5, -1)
+    least.add(0.3, 0.0)
+    least.add(0.9, 1.0)
+    assert least.value == 0.3
+
+
+def test_limiter_error_holds_until_the_next_turn():
+    limit = control.Limiter(0.0, rate=10.0)
+    limit.sent(1, 0.0)
+    limit.failed(1, 0.1)
+    assert limit.rate == pytest.approx(9.0) and limit.state == control.CRUISE
+    limit.wait(5.0)
+    assert limit.state == control.CRUISE
+    limit.wait(5.1)
+    assert limit.state == control.UP and limit.rate == 10.0
+    limit.sent(2, 5.1)
+    limit.failed(2, 5.2)
+    assert limit.state == control.DOWN and limit.rate == pytest.approx(8.0)
+    limit.wait(10.3)
+    assert limit.state == control.CRUISE and limit.rate == 10.0
+    for n in range(100):
+        limit.failed(n, 10.4)
+    assert limit.rate == limit.floor
+
+
+def test_limiter_holds_calls_under_way():
+    limit = control.Limiter(0.0, rate=1.0)
+    for n in range(8):
+        assert limit.wait(n * 2.0 + 2) == 0.0
+        limit.sent(n, n * 2.0 + 2)
+    assert limit.wait(18.0) == pytest.approx(limit.latency.value / 2)
+    limit.succeeded(0, 18.0)
+    assert len(limit.flying) == 7
+
+
+def test_gate_asks_the_breaker_first():
+    calls = [(float(i), False, 0.0) for i in range(5)] + [(5.0, True, 0.0), (9.5, True, 0.0), (9.6, True, 0.0)]
+    got = [(fate, state) for fate, _, state, _, _ in control.gated(iter(calls))]
+    assert got[:4] == [("passed", control.CLOSED)] * 4 and got[4] == ("passed", control.OPEN)
+    assert got[5] == ("blocked", control.OPEN) and got[6:] == [("passed", control.CLOSED)] * 2
+    late = [(0.0, True, 3.0), (1.0, True, 0.5)]
+    assert [g[0] for g in control.gated(iter(late))] == ["passed", "passed"]
+
+
+def test_routing(spark):
+    rows = [("ok", None), ("http", 429), ("http", 404), ("http", 401), ("http", 503), ("timeout", None), ("auth", None), ("odd", None)]
+    got = spark.createDataFrame(rows, "kind string, status int").select("kind", "status", control.routing(F.col("kind"), F.col("status")).alias("r")).collect()
+    assert {(r.kind, r.status): tuple(r.r) for r in got} == {
+        ("ok", None): ("success", "success", False), ("http", 429): ("error", "error", False), ("http", 404): ("success", "none", False),
+        ("http", 401): ("success", "none", False), ("http", 503): ("error", "error", False), ("timeout", None): ("error", "error", False),
+        ("auth", None): ("error", "error", True), ("odd", None): ("error", "none", False),
+    }
 
 
 def test_stream_breaker_equals_replay(spark, tmp_path):

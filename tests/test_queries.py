@@ -34,7 +34,7 @@ def test_equals_sql(spark, sf, duck, name):
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"mst", "looped_graph"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
