@@ -60,16 +60,27 @@ def build(hashes: DataFrame, bits: int) -> np.ndarray:
             yield packed(held)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        # rows come sorted by block, so that one block is held at a time
+        seen, at = np.zeros(1 << BLOCK, bool), None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["block", "bits"])
+
         for b in batches:
-            for block, inside in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(block, np.zeros(1 << BLOCK, bool))[np.frombuffer(inside, np.uint32)] = True
-        for block, seen in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["block", "bits"])
+            for i in range(b.num_rows):
+                block = b.column(0)[i].as_py()
+                if block != at:
+                    if at is not None:
+                        yield done()
+                        seen[:] = False
+                    at = block
+                seen[np.frombuffer(b.column(1)[i].as_buffer(), np.uint32)] = True
+        if at is not None:
+            yield done()
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (BLOCK - 3)
-    parts = hashes.mapInArrow(scatter, "block long, inside binary").repartition("block").mapInArrow(fill, "block long, bits binary")
+    parts = hashes.mapInArrow(scatter, "block long, inside binary").repartition("block").sortWithinPartitions("block").mapInArrow(fill, "block long, bits binary")
     for r in parts.collect():
         out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.bits, np.uint8)
     return out
