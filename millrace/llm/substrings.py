@@ -166,9 +166,8 @@ class Repeats:
     def __init__(self, docs: DataFrame):
         self.docs = docs
         self.scanned = materialise(scan(docs), "anchors-blocks")
-        copies = self.scanned.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-        self.copies = copies
-        reps = copies.select(F.col("rep").alias("doc_id"))
+        self.first = self.scanned.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+        reps = self.first.select("doc_id")
         own = self.scanned.where("n_words >= 20").select("doc_id", "blocks").join(reps, "doc_id", "left_semi")
         blocks = own.select(F.explode("blocks").alias("h"))
         counted = materialise(blocks.groupBy("h").count(), "anchors-index")
@@ -191,15 +190,13 @@ class Repeats:
 
     def with_spans(self) -> DataFrame:
         """doc_id, n_words, whole_sha256, spans (removed word ranges) of every row of the documents."""
-        rep = self.copies.where("n > 1").select("same", "rep")
+        # by (doc_id, same), not by the text alone, which may be that of a third of the rows
+        first = self.first.withColumn("is_first", F.lit(True))
         all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).cast(SPAN)
+        again = F.col("is_first").isNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)
         return (
-            self.scanned.drop("blocks").join(rep, "same", "left").join(self.spans, "doc_id", "left")
-            .select(
-                "doc_id", "n_words", "whole_sha256",
-                F.when((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= WINDOW), all_of_it)
-                .otherwise(F.coalesce("spans", F.array().cast(SPAN))).alias("spans"),
-            )
+            self.scanned.drop("blocks").join(first, ["doc_id", "same"], "left").join(self.spans, "doc_id", "left")
+            .select("doc_id", "n_words", "whole_sha256", F.when(again, all_of_it).otherwise(F.coalesce("spans", F.array().cast(SPAN))).alias("spans"))
         )
 
 
