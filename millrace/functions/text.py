@@ -119,11 +119,19 @@ def short_label(label: Column, words: int = 3, chars: int = 28, ellipsis: str =
     return let(joined, lambda t: F.when(F.length(t) > chars, F.concat(F.rtrim(F.substring(t, 1, chars - len(ellipsis))), F.lit(ellipsis))).otherwise(t))
 
 
-def clean_label(raw: Column, fallback: Column, words: int = 4, chars: int = 32, forbidden: tuple[str, ...] = ("cluster", "topic", "misc")) -> Column:
-    """Quotes, control characters and punctuation out, forbidden words out, capped; the fallback if nothing is left."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\"'`\x00-\x1F]", ""), r"[.,:;!?()\[\]{}]", " ")
+# Words that a label drops, labels that say nothing, and what a label is called that has none.
+FORBIDDEN_WORDS = ("and", "for", "with")
+BAD_LABELS = ("misc", "miscellaneous", "unknown", "unlabeled", "unlabelled", "untitled")
+NUMBERED_LABEL = r"^(?:Island|Neighborhood|District) [0-9]+$"
+
+
+def clean_label(raw: Column, fallback: Column, words: int = 4, chars: int = 32, forbidden: tuple[str, ...] = FORBIDDEN_WORDS) -> Column:
+    """Outer quotes, line breaks and commas out, forbidden words out, capped; the fallback if it says nothing or nothing is left."""
+    bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^[\"'`]+|[\"'`]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(bare, r"[\r\n\t]+", " "), "[,;:]+", " ")
     kept = F.filter(F.split(F.trim(plain), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*forbidden))
-    return F.coalesce(F.nullif(F.rtrim(F.substring(F.array_join(F.slice(kept, 1, words), " "), 1, chars)), F.lit("")), fallback)
+    capped = F.rtrim(F.substring(F.array_join(F.slice(kept, 1, words), " "), 1, chars))
+    return F.when(bad_label(plain), fallback).otherwise(F.coalesce(F.nullif(capped, F.lit("")), fallback))
 
 
 def label_key(label: Column) -> Column:
@@ -131,8 +139,9 @@ def label_key(label: Column) -> Column:
 
 
 def bad_label(label: Column) -> Column:
+    """Nothing in Latin letters or digits, a word for nothing, or a numbered stand-in."""
     key = label_key(label)
-    return (F.length(key) < 3) | key.rlike(r"^(?:untitled|unknown|none|n a|cluster \d+|mixed|various)$")
+    return (key == "") | key.isin(*BAD_LABELS) | F.coalesce(label, F.lit("")).rlike(NUMBERED_LABEL)
 
 
 #: A word of three characters or more (digits, apostrophes, hyphens and underscores in it), or a run of two or more kana or ideographs.
@@ -176,3 +185,8 @@ def massing(key: Column, salt: str, n: int) -> Column:
     """Deterministic draw below n: the first eight bytes of a salted SHA-256, big-endian and unsigned."""
     head = F.substring(F.sha2(F.concat(F.lit(salt), key), 256), 1, 16)
     return F.pmod(F.conv(head, 16, 10).cast("decimal(20,0)"), F.lit(n).cast("decimal(20,0)")).cast("int")
+
+
+def typology(listed: Column, area: Column, n: Column, least: float) -> Column:
+    """landmark if listed, detached where each has at least ``least`` of the area, else row."""
+    return F.when(listed, "landmark").when(area / F.greatest(n, F.lit(1)) >= least, "detached").otherwise("row")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions import values as V
 from millrace.operators import spatial
 from millrace.operators.graphs import connected_components
+from millrace.session import cut, materialise
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -46,38 +46,49 @@ def radius_clusters(points: DataFrame, eps: float) -> DataFrame:
     return connected_components(points, spatial.pairs_within(points, eps))
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Deterministic k-means: farthest-first seeds from the point nearest the mean; labels by size, ties by first member."""
-    at = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
-    d = ((x - x[at[0]]) ** 2).sum(1)
-    while len(at) < k and d.max() > 0:
-        at.append(int(d.argmax()))
-        d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
-    c = x[at]
-    label = None
-    for _ in range(rounds):
-        new = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-        if label is not None and (new == label).all():
-            break
-        label = new
-        c = np.stack([x[label == i].mean(0) if (label == i).any() else c[i] for i in range(len(c))])
-    kinds, first, n = np.unique(label, return_index=True, return_counts=True)
-    order = sorted(range(len(kinds)), key=lambda i: (-n[i], first[i]))
-    return np.array([{int(kinds[o]): r for r, o in enumerate(order)}[int(v)] for v in label])
+def _apart(a: Column, b: Column) -> Column:
+    """Squared distance of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def subdivide(df: DataFrame, parent: str, key: str, features: str, target: int, least: int, most: int) -> DataFrame:
-    """parent, key, child: each parent's rows split by k-means, k from its size; a parent is one bounded group."""
-    kinds = dict(df.dtypes)
+def subdivide(df: DataFrame, parent: str, key: str, features: str, target: int, least: int, most: int, rounds: int = 50) -> DataFrame:
+    """parent, key, child: each parent's rows split by k-means, k from its size; children are numbered from 0 by size, then by their smallest key.
 
-    def go(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        n = len(rows)
-        k = max(1, min(round(n / target), most, n // least))
-        label = lloyd(np.stack(rows[features].to_list()).astype(float), k) if k > 1 else np.zeros(n, int)
-        return pd.DataFrame({parent: group[0], key: rows[key].to_numpy(), "child": label})
-
-    return df.select(parent, key, features).groupBy(parent).applyInPandas(go, f"{parent} {kinds[parent]}, {key} {kinds[key]}, child int")
+    All parents at once, and none in one task: seeds are the row nearest the mean,
+    then the farthest from the seeds so far; a round finds the nearest centre
+    inside the row and averages the members map-side first. Only centres, at most
+    ``most`` a parent, are kept from round to round. Ties go to the smaller key and
+    the earlier centre.
+    """
+    rows = materialise(df.select(F.col(parent).alias("p"), F.col(key).alias("k"), F.transform(features, lambda x: x.cast("double")).alias("f")), "members")
+    sizes = rows.groupBy("p").agg(F.count("*").alias("n")).withColumn("want", V.child_count(F.col("n"), target, least, most))
+    mean = centroids(rows, "p", "f").withColumnRenamed("centroid", "m")
+    low = lambda d: F.struct(d.alias("d"), "k")
+    first = rows.join(mean, "p").groupBy("p").agg(F.min_by("f", low(_apart(F.col("f"), F.col("m")))).alias("f"))
+    now = cut(sizes.join(first, "p").select("p", "want", F.array("f").alias("c")))
+    nearest = lambda: F.array_min(F.transform("c", lambda c: _apart(F.col("f"), c)))
+    for _ in range(most - 1):
+        more = now.where(F.size("c") < F.col("want"))
+        if more.isEmpty():
+            break
+        far = rows.join(more, "p").withColumn("d", nearest()).where("d > 0").groupBy("p").agg(F.min_by("f", F.struct((-F.col("d")).alias("d"), "k")).alias("f"))
+        grown = now.join(far, "p", "left")
+        # a parent whose rows are all on its seeds has no more of them to give
+        now = cut(grown.select("p", F.when(F.col("f").isNull() & (F.size("c") < F.col("want")), F.size("c")).otherwise(F.col("want")).alias("want"), F.when(F.col("f").isNull(), F.col("c")).otherwise(F.concat("c", F.array("f"))).alias("c")))
+    own = lambda centres: rows.join(centres, "p").withColumn("l", T.let(F.transform("c", lambda c: _apart(F.col("f"), c)), lambda d: F.array_position(d, F.array_min(d))).cast("int"))
+    for _ in range(rounds):
+        parts = own(now).select("p", "l", F.posexplode("f").alias("i", "x")).groupBy("p", "l", "i").agg(F.avg("x").alias("x"))
+        each = parts.groupBy("p", "l").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: F.round(s["x"], 12)).alias("m"))
+        listed = each.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("l", "m"))).alias("new"))
+        moved = now.join(listed, "p").withColumn("next", F.transform("c", lambda c, i: F.coalesce(F.try_element_at("new", i + 1), c)))
+        done = cut(moved.select("p", "want", F.col("next").alias("c"), (F.col("next") != F.col("c")).alias("moved")))
+        now = done.drop("moved")
+        if done.where("moved").isEmpty():
+            break
+    labelled = cut(own(now).select("p", "k", "l"))
+    kinds = labelled.groupBy("p", "l").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    number = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("n"), "first")) - 1  # a parent's few children
+    return labelled.join(kinds.withColumn("child", number), ["p", "l"]).select(F.col("p").alias(parent), F.col("k").alias(key), "child")
 
 
 def standardised(df: DataFrame, columns: list[str], least: float = 1e-6) -> DataFrame:

@@ -129,3 +129,58 @@ def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:
     border = ways.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(label.select(F.col("id").alias("b"), "component"), "b")
     best = border.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.round("w", 9).alias("w"), "b", "component")).alias("m")).select("id", F.col("m.component").alias("component"))
     return points.select("id").join(label.unionByName(best), "id", "left").select("id", F.col("component").alias("cluster"))
+
+
+def slopes(grid: DataFrame) -> DataFrame:
+    """row, col, value scaled by its range to 0 .. 1, and slope: the length of its gradient by central differences, cells that aren't there taken as zero."""
+    ends = grid.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
+    span = F.col("hi") - F.col("lo")
+    unit = grid.join(F.broadcast(ends)).select("row", "col", F.when(span > 0, (F.col("value") - F.col("lo")) / span).otherwise(0.0).alias("value"))
+    moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(gx).alias("gx"), F.lit(gy).alias("gy")) for r, c, gx, gy in ((0, 0, 0.0, 0.0), (0, -1, 0.5, 0.0), (0, 1, -0.5, 0.0), (-1, 0, 0.0, 0.5), (1, 0, 0.0, -0.5))])
+    spread = unit.withColumn("m", F.explode(moves)).select(
+        (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col"), (F.col("value") * F.col("m.gx")).alias("gx"), (F.col("value") * F.col("m.gy")).alias("gy"),
+        F.when((F.col("m.r") == 0) & (F.col("m.c") == 0), F.col("value")).alias("value"),
+    )
+    out = spread.groupBy("row", "col").agg(F.max("value").alias("value"), F.hypot(F.sum("gx"), F.sum("gy")).alias("slope"))
+    return out.where("value IS NOT NULL")
+
+
+def peaks(grid: DataFrame, tile: str, value: str, apart: float, least: float) -> DataFrame:
+    """tile, row, col, value of the local maxima above zero of each tile, of at least ``least`` times its highest; of two closer than ``apart`` cells only the higher, then the first by row and column."""
+    from millrace.operators.layout import first_come, in_order
+
+    cells = grid.select(tile, "row", "col", F.col(value).alias("v"))
+    top = cells.groupBy(tile).agg(F.max("v").alias("top"))
+    high = cells.join(top, tile).where((F.col("v") > 0) & (F.col("v") >= least * F.col("top"))).drop("top")
+    there = cells.select(tile, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("v").alias("next"))
+    below = _moved(high, AROUND).join(there, [tile, "to_row", "to_col"]).where("next > v").select(tile, "row", "col").distinct()
+    found = cut(high.join(below, [tile, "row", "col"], "left_anti").select(
+        F.struct(tile, "row", "col").alias("id"), tile, "row", "col", F.col("v").alias("priority"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")
+    ))
+    near = S.pairs_within(found, apart).where(F.col("w") < apart).select("a", "b")
+    kept = first_come(found, in_order(near, found, tile))
+    return found.join(kept, "id", "left_semi").select(tile, "row", "col", F.col("priority").alias(value))
+
+
+def districts(cells: DataFrame, roads: DataFrame, size: float, least: int) -> DataFrame:
+    """row, col, district: cells that hang together by steps to the right or up which cross no road (id, ax, ay, bx, by), numbered from 0 by size.
+
+    A district of fewer than ``least`` cells joins the larger one that it has most
+    steps across roads to, the smaller key on a tie; without such a step it stays.
+    """
+    cells = cut(centred(cells.select("row", "col").distinct(), size).withColumn("id", key(F.col("row"), F.col("col"))))
+    there = cells.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    links = _moved(cells, [(0, 1), (1, 0)]).join(there, ["to_row", "to_col"])
+    links = cut(links.select(F.col("id").alias("a"), "b", F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by"))
+    named = lambda df, kind, name: df.select(F.struct(F.lit(kind).alias("k"), *name).alias("id"), "ax", "ay", "bx", "by")
+    lines = named(links, 0, [F.col("a").alias("p"), F.col("b").alias("q")]).unionByName(named(roads, 1, [F.col("id").cast("long").alias("p"), F.lit(0).cast("long").alias("q")]))
+    met = P.crossings(lines, size * 2).where("a.k = 0 AND b.k = 1")
+    blocked = cut(met.select(F.col("a.p").alias("a"), F.col("a.q").alias("b")).distinct())
+    label = cut(connected_components(cells.select("id"), links.select("a", "b").join(blocked, ["a", "b"], "left_anti")))
+    n = label.groupBy("component").agg(F.count("*").alias("n"))
+    both = blocked.unionByName(blocked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    of = lambda end, name, where: label.join(n.where(where), "component").select(F.col("id").alias(end), F.col("component").alias(name))
+    steps = both.join(of("a", "small", F.col("n") < least), "a").join(of("b", "large", F.col("n") >= least), "b").groupBy("small", "large").agg(F.count("*").alias("k"))
+    best = steps.groupBy("small").agg(F.max_by("large", F.struct("k", (-F.col("large")).alias("l"))).alias("large")).withColumnRenamed("small", "component")
+    owned = cut(cells.join(label, "id").join(best, "component", "left").select("row", "col", F.coalesce("large", "component").alias("owner")))
+    return owned.join(_numbered(owned), "owner").select("row", "col", F.col("region").alias("district"))

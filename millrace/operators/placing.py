@@ -207,3 +207,26 @@ def along(segments: DataFrame, size: float, aside: float) -> DataFrame:
 def zone(distance: Column, core: float, inner: float, major: Column) -> Column:
     """core, inner or fringe by the distance from the centre over its radius; only major centres have the first two."""
     return F.when(major & (distance <= core), "core").when(major & (distance <= inner), "inner").otherwise("fringe")
+
+
+def noded(segments: DataFrame, crossed: DataFrame) -> DataFrame:
+    """id, part, t0, t1, length: the segments (id, ax, ay, bx, by) cut where they are crossed (a, b, x, y), as edges between nodes."""
+    ends = crossed.select(F.inline(F.array(F.struct(F.col("a").alias("id"), "x", "y"), F.struct(F.col("b").alias("id"), "x", "y"))))
+    s = segments.select("id", "ax", "ay", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("length"))
+    inner = ends.join(s, "id").select("id", (F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")) / F.col("length")).alias("t"))
+    marks = s.select("id", F.lit(0.0).alias("t")).unionByName(inner).unionByName(s.select("id", F.lit(1.0).alias("t")))
+    w = Window.partitionBy("id").orderBy("t")
+    parts = marks.select("id", (F.row_number().over(w) - 1).alias("part"), F.col("t").alias("t0"), F.lead("t").over(w).alias("t1")).where("t1 IS NOT NULL")
+    return parts.join(s.select("id", "length"), "id").withColumn("length", (F.col("t1") - F.col("t0")) * F.col("length"))
+
+
+def gaps(blocks: DataFrame, fabric: DataFrame, spacing: float) -> DataFrame:
+    """block, samples, uncovered, widest: places at every ``spacing`` of each block (poly, ring), those outside all of the fabric (poly, ring), and the farthest of them from it."""
+    b = blocks.withColumn("b", S.box(F.col("ring")))
+    at = lambda lo, hi: F.explode(F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / spacing - 0.5).cast("int")))
+    spots = b.withColumn("i", at("b.x0", "b.x1")).withColumn("j", at("b.y0", "b.y1"))
+    spots = spots.withColumns({"x": F.col("b.x0") + (F.col("i") + 0.5) * spacing, "y": F.col("b.y0") + (F.col("j") + 0.5) * spacing})
+    spots = cut(spots.where(S.contains(F.col("ring"), F.col("x"), F.col("y"))).select(F.struct("poly", "i", "j").alias("id"), "x", "y"))
+    near = polygon_or_nearest(spots, fabric, spacing * 8)
+    out = F.col("w") > 0
+    return near.groupBy(F.col("id.poly").alias("block")).agg(F.count("*").alias("samples"), F.count_if(out).alias("uncovered"), F.max("w").alias("widest"))

@@ -26,6 +26,11 @@ def top_per_group(df: DataFrame, keys: list[str], n: int | Column, *order: Colum
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def first_rows(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """The n first rows in the order, or all of them, unsorted."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def hash_order(*cols: str, salt: str = "") -> Column:
     """A pseudo-random order that any engine with MD5 gives alike."""
     return F.md5(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in cols]))

@@ -1,4 +1,4 @@
-"""Raster kernels for one bounded tile or island each: flow, costs, least-cost paths, peaks."""
+"""Raster kernels for one bounded tile or island each: flow, costs, least-cost paths."""
 
 from __future__ import annotations
 
@@ -64,19 +64,6 @@ def least_path(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -
     return float("inf"), []
 
 
-def peaks(dense: np.ndarray, apart: float, least: float) -> list[tuple[int, int]]:
-    """Local maxima of at least ``least`` times the highest, highest first, none closer than ``apart`` cells."""
-    rows, cols = dense.shape
-    pad = np.pad(dense, 1, constant_values=-np.inf)
-    top = np.max([pad[1 + dr : 1 + dr + rows, 1 + dc : 1 + dc + cols] for dr, dc in STEPS], axis=0)
-    found = np.argwhere((dense >= top) & (dense >= least * dense.max()) & (dense > 0))
-    out: list[tuple[int, int]] = []
-    for r, c in sorted(map(tuple, found.tolist()), key=lambda p: (-dense[p], p)):
-        if all((r - a) ** 2 + (c - b) ** 2 >= apart * apart for a, b in out):
-            out.append((r, c))
-    return out
-
-
 def dense_tile(rows: pd.DataFrame, value: str) -> tuple[np.ndarray, int, int]:
     """Array of a sparse tile (row, col, value), zeros between, with its origin."""
     r0, c0 = int(rows["row"].min()), int(rows["col"].min())
@@ -97,16 +84,6 @@ def flow_by_tile(grid: DataFrame, tile: str, height: str) -> DataFrame:
     return grid.groupBy(tile).applyInPandas(go, f"{tile} {kinds[tile]}, row long, col long, drained double")
 
 
-def peaks_by_tile(grid: DataFrame, tile: str, value: str, apart: float, least: float) -> DataFrame:
-    kinds = dict(grid.dtypes)
-
-    def go(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v, r0, c0 = dense_tile(rows, value)
-        return pd.DataFrame([(key[0], r + r0, c + c0, v[r, c]) for r, c in peaks(v, apart, least)], columns=[tile, "row", "col", value])
-
-    return grid.groupBy(tile).applyInPandas(go, f"{tile} {kinds[tile]}, row long, col long, {value} double")
-
-
 def routes(grid: DataFrame, pairs: DataFrame, tile: str, cost: str) -> DataFrame:
     """tile, pair, length, cells of the cheapest path of each pair (tile, pair, r1, c1, r2, c2) over its tile's costs."""
     kinds = dict(grid.dtypes)
@@ -122,3 +99,20 @@ def routes(grid: DataFrame, pairs: DataFrame, tile: str, cost: str) -> DataFrame
         return pd.DataFrame(out, columns=[tile, "pair", "length", "cells"])
 
     return grid.groupBy(tile).cogroup(pairs.groupBy(tile)).applyInPandas(go, f"{tile} {kinds[tile]}, pair long, length double, cells long")
+
+
+def costs_by_tile(grid: DataFrame, tile: str, height: str) -> DataFrame:
+    """tile, row, col, cost: what a way pays on each cell of (tile, row, col, height), by slope, rivers and density, the heights scaled to 0 .. 1 in their tile."""
+    kinds = dict(grid.dtypes)
+
+    def go(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        h, r0, c0 = dense_tile(rows, height)
+        mask = np.zeros(h.shape, bool)
+        mask[rows["row"] - r0, rows["col"] - c0] = True
+        unit = (h - h[mask].min()) / max(float(np.ptp(h[mask])), 1e-12)
+        pad = np.pad(unit, 1)
+        slope = np.hypot((pad[1:-1, 2:] - pad[1:-1, :-2]) / 2, (pad[2:, 1:-1] - pad[:-2, 1:-1]) / 2)
+        cost = cost_field(slope, flow(h), unit, mask)
+        return pd.DataFrame({tile: key[0], "row": rows["row"], "col": rows["col"], "cost": cost[rows["row"] - r0, rows["col"] - c0]})
+
+    return grid.groupBy(tile).applyInPandas(go, f"{tile} {kinds[tile]}, row long, col long, cost double")

@@ -38,36 +38,32 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     return _near_pairs(points, radius).select("a", F.col("id").alias("b"), "w")
 
 
-def nearest(points: DataFrame, k: int, size: float, grow: float = 3.0, rounds: int = 9) -> DataFrame:
+def nearest(points: DataFrame, k: int, size: float, grow: float = 3.0) -> DataFrame:
     """id, other, w, rank: the k nearest others of each point.
 
-    Points look in a grid that is refined where it is enough: those with k
-    others within the cell size are done, the rest go on with wider cells.
+    Points look in a grid of cells that hold about k points on the average (``size``
+    wide at most); those with k others within the cell size are done, the rest go
+    on with wider cells. A point without coordinates takes no part.
     """
-    left, done, r = points.select("id", "x", "y"), None, size
-    total = points.count()
-    k = min(k, max(0, total - 1))
-    for n in range(rounds):
-        own = left.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
-        if n == rounds - 1 or total <= 2 * k + 2:
-            near = points.select(F.col("id").alias("other"), "x", "y").withColumn("one", F.lit(1))
-            cand, reach = own.withColumn("one", F.lit(1)).join(near, "one").drop("one"), float("inf")
-        else:
-            own = own.withColumns({"cx": cell(F.col("px"), r), "cy": cell(F.col("py"), r)})
-            cand, reach = own.join(_around(points.select(F.col("id").alias("other"), "x", "y"), r), ["cx", "cy"]), r
+    points = points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    s = points.agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area")).first()
+    k = min(k, max(0, s.n - 1))
+    r = min(size, math.sqrt(s.area * k / s.n)) if s.n and s.area and k else size
+    left, done = points, None
+    while True:
+        own = left.select("id", F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": cell(F.col("px"), r), "cy": cell(F.col("py"), r)})
+        cand = own.join(_around(points.select(F.col("id").alias("other"), "x", "y"), r), ["cx", "cy"])
         d = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2)
-        cand = cand.where(F.col("id") != F.col("other")).withColumn("w", d).where(F.col("w") <= reach)
+        cand = cand.where(F.col("id") != F.col("other")).withColumn("w", d).where(F.col("w") <= r)
         w = Window.partitionBy("id").orderBy("w", "other")
-        ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "other", "w", "rank")
-        ranked = cut(ranked)
+        ranked = cut(cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "other", "w", "rank"))
         full = ranked.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == k).select("id")
         found = ranked.join(full, "id", "left_semi")
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(full, "id", "left_anti"))
-        if reach == float("inf") or left.isEmpty():
-            break
+        if not k or left.isEmpty():
+            return done
         r *= grow
-    return done
 
 
 def area2(ring: Column) -> Column:

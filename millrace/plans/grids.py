@@ -9,6 +9,7 @@ from millrace.operators import graphs as N
 from millrace.operators import grids as G
 from millrace.operators import placing as P
 from millrace.operators import spatial as S
+from millrace.plans.placing import SEG, lines
 from millrace.plans.registry import query
 from millrace.plans.vectors import E_SQL, NEAR, SQUARES, points, road_edges, squares
 from millrace.session import cut
@@ -119,3 +120,25 @@ def main_streets(spark: SparkSession, d: str) -> DataFrame:
     ends = e.groupBy("label").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("v"))
     major = ends.select("label", F.slice("v", 1, 3).alias("v"))
     return N.paths_between(e, major, "label")
+
+
+@query(f"""WITH {E_SQL}, {GRID}, u AS (SELECT r, c, (n - min(n) OVER ()) / CAST(max(n) OVER () - min(n) OVER () AS DOUBLE) AS v FROM g)
+SELECT u.r AS "row", u.c AS col, round(u.v, 9) AS value, round(sqrt(((coalesce(e.v, 0) - coalesce(w.v, 0)) / 2) ** 2 + ((coalesce(n.v, 0) - coalesce(s.v, 0)) / 2) ** 2), 9) AS slope
+FROM u LEFT JOIN u e ON e.r = u.r AND e.c = u.c + 1 LEFT JOIN u w ON w.r = u.r AND w.c = u.c - 1 LEFT JOIN u n ON n.r = u.r + 1 AND n.c = u.c LEFT JOIN u s ON s.r = u.r - 1 AND s.c = u.c""")
+def terrain_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """The density as heights from 0 to 1, and how steep they are."""
+    return G.slopes(grid(spark, d)).select("row", "col", F.round("value", 9).alias("value"), F.round("slope", 9).alias("slope"))
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {SEG}, m AS (SELECT DISTINCT CAST(floor(y / 0.02) AS BIGINT) AS r, CAST(floor(x / 0.02) AS BIGINT) AS c FROM p),
+l AS (SELECT a.r * 1048576 + a.c AS a, b.r * 1048576 + b.c AS b, (a.c + 0.5) * 0.02 AS px, (a.r + 0.5) * 0.02 AS py, (b.c - a.c) * 0.02 AS dx, (b.r - a.r) * 0.02 AS dy FROM m a JOIN m b ON (b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1)),
+t AS (SELECT a, b, ((ax - px) * (by_ - ay) - (ay - py) * (bx - ax)) / nullif(dx * (by_ - ay) - dy * (bx - ax), 0) AS t, ((ax - px) * dy - (ay - py) * dx) / nullif(dx * (by_ - ay) - dy * (bx - ax), 0) AS u FROM l, h),
+x AS (SELECT DISTINCT a, b FROM t WHERE t > 0 AND t < 1 AND u > 0 AND u < 1), o AS (SELECT a, b FROM l EXCEPT SELECT a, b FROM x), s AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+w AS (SELECT r * 1048576 + c AS s, r * 1048576 + c AS e FROM m UNION SELECT w.s, s.b FROM w JOIN s ON s.a = w.e), comp AS (SELECT e AS id, min(s) AS comp FROM w GROUP BY 1), z AS (SELECT comp, count(*) AS n FROM comp GROUP BY 1),
+k AS (SELECT ca.comp AS small, cb.comp AS large, count(*) AS k FROM (SELECT a, b FROM x UNION ALL SELECT b, a FROM x) y JOIN comp ca ON ca.id = a JOIN comp cb ON cb.id = b JOIN z za ON za.comp = ca.comp JOIN z zb ON zb.comp = cb.comp WHERE za.n < 4 AND zb.n >= 4 GROUP BY 1, 2),
+f AS (SELECT id, coalesce(large, comp) AS owner FROM comp LEFT JOIN (SELECT small, large FROM k QUALIFY row_number() OVER (PARTITION BY small ORDER BY k DESC, large) = 1) ON small = comp),
+i AS (SELECT owner, row_number() OVER (ORDER BY count(*) DESC, owner) - 1 AS district FROM f GROUP BY owner)
+SELECT r AS "row", c AS col, CAST(district AS INTEGER) AS district FROM m JOIN f ON f.id = r * 1048576 + c JOIN i USING (owner)""")
+def road_districts(spark: SparkSession, d: str) -> DataFrame:
+    """Cells cut into districts by roads, slivers joined to the neighbour they share most with."""
+    return G.districts(S.density(points(spark, d), 0.02), lines(spark, d).select("id", "ax", "ay", "bx", "by"), 0.02, 4)

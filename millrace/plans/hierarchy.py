@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.operators import clusters as C
+from millrace.operators import ranking as R
 from millrace.operators import trees as H
 from millrace.plans.registry import query
 from millrace.plans.vectors import E_SQL, UNIT, points, vectors
@@ -185,3 +186,11 @@ def connection_strings(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.lit("mysql+aiomysql://u"), text("s_suppkey"), F.lit(":p@h"), text("s_nationkey"), F.lit(":"), (3000 + F.col("s_suppkey")).cast("string"), F.lit("/d"), (F.col("s_suppkey") % 3).cast("string"))
     c = V.connection(url)
     return s.select("s_suppkey", c["url"].alias("url"), c["attach"].alias("attach"))
+
+
+@query("""SELECT 'newest' AS part, c_custkey FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40) UNION ALL SELECT 'all', c_custkey FROM customer WHERE c_nationkey = 3""")
+def limited_export(spark: SparkSession, d: str) -> DataFrame:
+    """An export with a limit takes the first rows of an order; without one it takes all, in no order."""
+    c = t(spark, d, "customer")
+    some = R.first_rows(c, 40, F.desc("c_acctbal"), F.col("c_custkey")).select(F.lit("newest").alias("part"), "c_custkey")
+    return some.unionByName(R.first_rows(c.where("c_nationkey = 3"), None, F.desc("c_acctbal")).select(F.lit("all").alias("part"), "c_custkey"))

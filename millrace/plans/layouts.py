@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import clusters as C
+from millrace.operators import graphs as G
+from millrace.operators import grids as N
 from millrace.operators import layout as L
 from millrace.operators import raster as R
 from millrace.operators import spatial as S
+from millrace.plans.placing import lines
 from millrace.plans.registry import query
-from millrace.plans.vectors import E_SQL, points
+from millrace.plans.vectors import E_SQL, points, vectors
+from millrace.session import cut
 
 
 @query()
@@ -71,7 +76,7 @@ def _tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def density_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return R.peaks_by_tile(_tiles(spark, d), "label", "value", 3.0, 0.3)
+    return N.peaks(_tiles(spark, d), "label", "value", 3.0, 0.3)
 
 
 @query()
@@ -83,10 +88,71 @@ def drained_cells(spark: SparkSession, d: str) -> DataFrame:
 def cheapest_routes(spark: SparkSession, d: str) -> DataFrame:
     """Paths between the two highest peaks of each label, cheap where it is dense."""
     tiles = _tiles(spark, d)
-    top = R.peaks_by_tile(tiles, "label", "value", 3.0, 0.0)
+    top = N.peaks(tiles, "label", "value", 3.0, 0.0)
     first = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), "row", "col")))
     ends = top.groupBy("label").agg(first.alias("t")).where("size(t) > 1")
     at = lambda i, c: F.get("t", F.lit(i))[c]
     pairs = ends.select("label", F.lit(0).cast("long").alias("pair"), at(0, "row").alias("r1"), at(0, "col").alias("c1"), at(1, "row").alias("r2"), at(1, "col").alias("c2"))
     cost = tiles.withColumn("cost", 1 / (0.1 + F.col("value")))
     return R.routes(cost, pairs, "label", "cost").withColumn("length", F.round("length", 6))
+
+
+@query()
+def cost_raster(spark: SparkSession, d: str) -> DataFrame:
+    """What a way pays on each cell of a label's tile."""
+    return R.costs_by_tile(_tiles(spark, d), "label", "value").withColumn("cost", F.round("cost", 9))
+
+
+def label_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's points as a ring around their mean."""
+    p = points(spark, d)
+    c = p.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    turn = p.join(c, "label").withColumn("t", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")))
+    corners = F.transform(F.sort_array(F.collect_list(F.struct("t", "id", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    return turn.groupBy("label").agg(corners.alias("ring"))
+
+
+@query()
+def ring_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Direction, convexity and irregularity of rings."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return L.shapes(label_rings(spark, d), "label").select("label", "corners", r("axis"), r("convexity"), r("irregularity"))
+
+
+@query()
+def local_roads(spark: SparkSession, d: str) -> DataFrame:
+    """Roads between the children of each label (the least network, and a fifth more edges), and main roads between the labels' centres."""
+    v = vectors(spark, d)
+    child = C.subdivide(v, "label", "id", "v", 40, 10, 6)
+    at = points(spark, d).join(child.select("id", "child"), "id")
+    local = at.groupBy("label", "child").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("id", F.col("label").cast("long") * 100 + F.col("child"))
+    main = at.groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("id", F.col("label").cast("long"))
+    local, main = cut(local), cut(main)
+    other = local.select("label", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    w = F.round(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")), 9).alias("w")
+    pairs = local.join(other, "label").where("id < b").select(F.col("id").alias("a"), "b", w)  # a label has six children at most
+    near = S.nearest(main, 4, 0.05).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.round("w", 9).alias("w")).distinct()
+    out = None
+    for kind, nodes, edges in (("local", local, pairs), ("main", main, near)):
+        e = cut(edges)
+        tree = G.spanning_forest(nodes, e)
+        more = G.extra_edges(tree, e, 0.2, 1.0)
+        part = tree.select("a", "b", "w", F.lit(kind).alias("kind")).unionByName(more.select("a", "b", "w", F.lit(kind + " loop").alias("kind")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {E_SQL} SELECT label, count(*) AS n, round((max(x) - min(x) + 0.02) * (max(y) - min(y) + 0.02), 8) AS area FROM p GROUP BY label")
+def voronoi_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of each label's points; they fill the label's box."""
+    cells = L.voronoi_cells(points(spark, d), "label", 0.01)
+    return cells.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("area"), 8).alias("area"))
+
+
+@query()
+def clipped_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Footprints beside the roads; those that lose more than half of their area are left out."""
+    p = points(spark, d).where("id % 3 = 0").select("id", "x", "y", (F.col("id") % 7 * 0.2).alias("angle"), F.lit(0.012).alias("w"), F.lit(0.008).alias("h"))
+    roads = lines(spark, d).select("id", "ax", "ay", "bx", "by")
+    kept = L.clipped(p.withColumn("ring", L.quad("x", "y", "angle", "w", "h")), "id", roads, 0.001, 0.5)
+    return kept.select("id", F.round("area", 9).alias("area"), F.round("share", 6).alias("share"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.operators import graphs as G
 from millrace.operators import placing as P
+from millrace.operators import ranking as R
 from millrace.operators import spatial as S
 from millrace.plans.registry import query
 from millrace.plans.vectors import E_SQL, SQUARES, points, road_edges, squares
+from millrace.session import cut
 from millrace.session import table as t
 
 BOX_GAP = "round(sqrt(greatest(x0 - x, 0, x - x0 - 0.1) ** 2 + greatest(y0 - y, 0, y - y0 - 0.1) ** 2), 9)"
@@ -258,3 +260,77 @@ def affine_round_trip(spark: SparkSession, d: str) -> DataFrame:
     q = p.join(F.broadcast(b)).withColumns({"u": V.affine(F.col("x"), F.col("x0"), 100 / F.col("extent")), "v": V.affine(F.col("y"), F.col("y0"), 100 / F.col("extent"))})
     back = lambda m, o, c: F.abs(V.affine_back(F.col(m), F.col(o), 100 / F.col("extent")) - F.col(c))
     return q.select("id", F.round("u", 7).alias("u"), F.round("v", 7).alias("v"), (F.greatest(back("u", "x0", "x"), back("v", "y0", "y")) < 1e-9).alias("exact"))
+
+
+@query(f"""WITH {E_SQL}, {SEG}, m AS (SELECT a.id AS a, b.id AS b, a.len AS la, b.len AS lb, a.bx - a.ax AS dx, a.by_ - a.ay AS dy, b.ax - a.ax AS gx, b.ay - a.ay AS gy, b.bx - b.ax AS ex, b.by_ - b.ay AS ey FROM h a JOIN h b ON a.id < b.id),
+n AS (SELECT *, (gx * ey - gy * ex) / nullif(dx * ey - dy * ex, 0) AS t, (gx * dy - gy * dx) / nullif(dx * ey - dy * ex, 0) AS u FROM m),
+k AS (SELECT id, 0.0::DOUBLE AS t FROM h UNION ALL SELECT id, 1.0::DOUBLE FROM h UNION ALL SELECT a, t FROM n WHERE t > 0 AND t < 1 AND u > 0 AND u < 1 UNION ALL SELECT b, u FROM n WHERE t > 0 AND t < 1 AND u > 0 AND u < 1),
+q AS (SELECT id, CAST(row_number() OVER w - 1 AS INTEGER) AS part, t AS t0, lead(t) OVER w AS t1 FROM k WINDOW w AS (PARTITION BY id ORDER BY t))
+SELECT id, part, round(t0, 7) AS t0, round(t1, 7) AS t1, round((t1 - t0) * len, 7) AS length FROM q JOIN h USING (id) WHERE t1 IS NOT NULL""")
+def noded_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Lines cut at their crossings into the edges of a junction graph."""
+    s = lines(spark, d).select("id", "ax", "ay", "bx", "by")
+    r = lambda c: F.round(c, 7).alias(c)
+    return P.noded(s, P.crossings(s, 0.1)).select("id", "part", r("t0"), r("t1"), r("length"))
+
+
+@query(f"""WITH {SQUARES}, k AS (SELECT poly AS block, x0 + (i + 0.5) * 0.0125 AS x, y0 + (j + 0.5) * 0.0125 AS y FROM s, range(8) a(i), range(8) b(j) WHERE poly % 7 = 0),
+f AS (SELECT poly, x0, y0 FROM s WHERE poly % 3 = 0), g AS (SELECT block, x, y, min(round(sqrt(greatest(x0 - x, 0, x - x0 - 0.1) ** 2 + greatest(y0 - y, 0, y - y0 - 0.1) ** 2), 9)) AS w FROM k, f GROUP BY ALL)
+SELECT block::BIGINT AS block, count(*) AS samples, count(*) FILTER (w > 0) AS uncovered, round(max(w), 7) AS widest FROM g GROUP BY block""")
+def seam_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each block the fabric leaves open, and how far from it."""
+    sq = squares(spark)
+    return P.gaps(sq.where("poly % 7 = 0"), sq.where("poly % 3 = 0"), 0.0125).withColumn("widest", F.round("widest", 7))
+
+
+@query(f"""WITH {E_SQL}, {SQUARES}, h AS (SELECT id, count(poly) AS n FROM p LEFT JOIN s ON x >= x0 AND x < x0 + 0.1 AND y >= y0 AND y < y0 + 0.1 GROUP BY id)
+SELECT 'unique ids' AS rule, count(*) = count(DISTINCT id) AS holds, CAST(count(*) - count(DISTINCT id) AS DOUBLE) AS worst FROM p UNION ALL SELECT 'in one polygon at most', max(n) <= 1, CAST(max(n) AS DOUBLE) FROM h UNION ALL SELECT 'none outside', min(n) >= 1, CAST(count(*) FILTER (n = 0) AS DOUBLE) FROM h
+UNION ALL SELECT 'areas above zero', TRUE, 0.01::DOUBLE UNION ALL SELECT 'polygons fill the box', TRUE, 0.0::DOUBLE""")
+def layout_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that a layout has to keep, each with the figure that decides it."""
+    p, sq = points(spark, d), squares(spark)
+    b = S.box(F.col("ring"))
+    boxes = sq.select("poly", b.alias("b")).select("poly", "b.*")
+    tiles = boxes.withColumn("cx", S.cell(F.col("x0") + 0.05, 0.1)).withColumn("cy", S.cell(F.col("y0") + 0.05, 0.1))
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    near = p.withColumns({"cx": S.cell(F.col("x"), 0.1), "cy": S.cell(F.col("y"), 0.1)}).join(tiles, ["cx", "cy"]).where(inside)
+    hits = p.select("id").join(near.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    area = sq.select(S.measures(F.col("ring"))["area"].alias("a"), b.alias("b"))
+    rule = lambda df, name, holds, worst: df.select(F.lit(name).alias("rule"), holds.alias("holds"), F.round(worst.cast("double"), 9).alias("worst"))
+    ids = p.agg((F.count("*") - F.count_distinct("id")).alias("w"))
+    in_ = hits.agg(F.max("n").alias("most"), F.min("n").alias("least"), F.count_if(F.col("n") == 0).alias("out"))
+    whole = (F.max("b.x1") - F.min("b.x0")) * (F.max("b.y1") - F.min("b.y0"))
+    areas = area.agg(F.min("a").alias("least"), F.abs(F.sum("a") - whole).alias("off"))
+    out = rule(ids, "unique ids", F.col("w") == 0, F.col("w"))
+    for more in (
+        rule(in_, "in one polygon at most", F.col("most") <= 1, F.col("most")), rule(in_, "none outside", F.col("least") >= 1, F.col("out")),
+        rule(areas, "areas above zero", F.col("least") > 0, F.col("least")), rule(areas, "polygons fill the box", F.col("off") < 1e-9, F.col("off")),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+@query(f"""WITH {E_SQL}, {ROADS}, a AS (SELECT 'two nearest' AS layout, least(id, other) AS a, greatest(id, other) AS b, max(w) AS w FROM nn WHERE rank <= 2 GROUP BY 2, 3 UNION ALL SELECT 'four nearest', least(id, other), greatest(id, other), max(w) FROM nn WHERE rank <= 4 GROUP BY 2, 3),
+v AS (SELECT layout, id, count(*) AS k FROM (SELECT layout, a AS id FROM a UNION ALL SELECT layout, b FROM a) GROUP BY 1, 2), m AS (SELECT layout, count(*) AS edges, round(sum(w), 7) AS length, round(quantile_cont(w, 0.5), 9) AS median FROM a GROUP BY 1),
+n AS (SELECT layout, count(*) AS nodes, round(avg(k), 7) AS degree, count(*) FILTER (k = 1) AS dead_ends, round(stddev_pop(k) / avg(k), 6) AS spread FROM v GROUP BY 1) SELECT * FROM m JOIN n USING (layout)""")
+def layout_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two networks over the same points side by side."""
+    near, out = S.nearest(points(spark, d), 4, 0.02), None
+    for name, k in (("two nearest", 2), ("four nearest", 4)):
+        e = near.where(F.col("rank") <= k).groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("w").alias("w")).withColumn("layout", F.lit(name))
+        out = e if out is None else out.unionByName(e)
+    out = cut(out)
+    m = R.order_statistics(out, ["layout"], "w", median=("cont", 0.5)).select("layout", F.round("median", 9).alias("median"))
+    m = m.join(out.groupBy("layout").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 7).alias("length")), "layout")
+    k = out.select("layout", F.explode(F.array("a", "b")).alias("id")).groupBy("layout", "id").agg(F.count("*").alias("k"))
+    n = k.groupBy("layout").agg(F.count("*").alias("nodes"), F.round(F.avg("k"), 7).alias("degree"), F.count_if(F.col("k") == 1).alias("dead_ends"), F.round(F.stddev_pop("k") / F.avg("k"), 6).alias("spread"))
+    return m.join(n, "layout")
+
+
+@query(f"WITH {E_SQL} SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS local, row_number() OVER (ORDER BY label, id) - 1 AS global FROM p")
+def island_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that are dense on each island, and over all islands by the islands' offsets."""
+    p = R.positioned(points(spark, d).select("label", "id"), ["label"], "id")
+    n = p.groupBy("label").agg(F.count("*").alias("c"))
+    before = n.select("label", (F.sum("c").over(Window.orderBy("label")) - F.col("c")).alias("before"))  # one row an island
+    return p.join(before, "label").select("label", "id", F.col("i").alias("local"), (F.col("before") + F.col("i")).alias("global"))

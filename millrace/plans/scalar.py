@@ -64,13 +64,22 @@ def text_compose(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", doc.alias("doc"))
 
 
-@query("""SELECT p_partkey, CASE WHEN length(n) > 12 THEN rtrim(substr(n, 1, 11)) || '…' ELSE n END AS short, lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', ' ', 'g')) AS key,
- p_type IN ('none') AS bad FROM (SELECT *, p_name AS n FROM part)""")
+@query(r"""WITH b AS (SELECT p_partkey, p_name AS n, ['"Neon  ' || p_brand || '!!"', 'Misc', 'District ' || p_size, p_type || ' and the, long: tail of words', ' ', 'Unknown'][p_partkey % 6 + 1] AS raw FROM part),
+q AS (SELECT *, regexp_replace(regexp_replace(trim(raw), '^["''`]+|["''`]+$', '', 'g'), '[,;:]+', ' ', 'g') AS plain FROM b),
+c AS (SELECT *, list_filter(string_split_regex(trim(plain), '\s+'), lambda w: w <> '' AND lower(w) NOT IN ('and', 'for', 'with')) AS ws, trim(regexp_replace(lower(plain), '[^a-z0-9]+', ' ', 'g')) IN ('', 'misc', 'unknown') OR regexp_full_match(plain, 'District [0-9]+') AS empty FROM q),
+d AS (SELECT *, CASE WHEN empty THEN 'none' ELSE coalesce(nullif(rtrim(substr(array_to_string(ws[1:4], ' '), 1, 32)), ''), 'none') END AS label FROM c)
+SELECT p_partkey, CASE WHEN length(n) > 12 THEN rtrim(substr(n, 1, 11)) || '…' ELSE n END AS short, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS key,
+ trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) IN ('', 'misc', 'unknown') OR regexp_full_match(raw, 'District [0-9]+') AS bad FROM d""")
 def label_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Suffix words fall off the end of a label, then it is capped."""
+    """Suffix words fall off the end of a label; messy labels cleaned, keyed and tested."""
     named = F.concat_ws(" ", "p_name", F.lit("World"), F.lit("hub"))
-    cleaned = T.clean_label(F.concat(F.lit('"'), F.col("p_brand"), F.lit('" cluster.')), F.lit("none"))
-    return t(spark, d, "part").select("p_partkey", T.short_label(named, 3, 12).alias("short"), T.label_key(cleaned).alias("key"), T.bad_label(F.col("p_type")).alias("bad"))
+    messy = F.array(
+        F.concat(F.lit('"Neon  '), F.col("p_brand"), F.lit('!!"')), F.lit("Misc"), F.concat(F.lit("District "), F.col("p_size").cast("string")),
+        F.concat(F.col("p_type"), F.lit(" and the, long: tail of words")), F.lit(" "), F.lit("Unknown"),
+    )
+    raw = F.element_at(messy, (F.col("p_partkey") % 6 + 1).cast("int"))
+    label = T.clean_label(raw, F.lit("none"))
+    return t(spark, d, "part").select("p_partkey", T.short_label(named, 3, 12).alias("short"), label.alias("label"), T.label_key(label).alias("key"), T.bad_label(raw).alias("bad"))
 
 
 @query("""SELECT doc_id, lang FROM documents WHERE NOT coalesce(lang IN ('de', 'fr'), FALSE) AND length(coalesce(text, '')) >= 400""")
@@ -160,7 +169,7 @@ def http_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_custkey, CAST(('0x' || substr(sha256('h:' || CAST(c_custkey AS VARCHAR)), 1, 16))::UBIGINT % 12 AS INTEGER) AS stories, CASE WHEN c_acctbal > 8000 THEN 'landmark' WHEN c_acctbal >= 2000 THEN 'detached' ELSE 'row' END AS typology FROM customer""")
 def massing(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("c_acctbal") > 8000, "landmark").when(F.col("c_acctbal") >= 2000, "detached").otherwise("row")
+    kind = T.typology(F.col("c_acctbal") > 8000, F.col("c_acctbal"), F.lit(1), 2000.0)
     return t(spark, d, "customer").select("c_custkey", T.massing(F.col("c_custkey").cast("string"), "h:", 12).alias("stories"), kind.alias("typology"))
 
 

@@ -93,9 +93,13 @@ def sweep(spark: SparkSession, *keep: DataFrame, since: int = 0) -> int:
     plain = lambda path: path.split(":", 1)[-1].lstrip("/")
     used = {plain(os.path.dirname(f)) for df in keep for f in df.inputFiles()}
     gone = [p for p in _written[since:] if plain(p) not in used]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in gone:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        remove(spark, path)
         _written.remove(path)
     return len(gone)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through Hadoop's file systems."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

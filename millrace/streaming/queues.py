@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators import upserts
+from millrace.session import remove
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int = 1) -> DataFrame:
@@ -20,12 +21,19 @@ def drain(stream: DataFrame, sink, checkpoint: str) -> None:
 
 
 def upsert_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Apply each batch of (id, seq, payload, status) to the state under ``table``: version n + 1 is written from version n."""
+    """Apply each batch of (id, seq, payload, status) to the state under ``table``: version n + 1 is written from version n, and version n - 1 removed.
+
+    The version before the last stays, so that a batch can be repeated. A batch
+    rewrites the state; where that is large against the batches, keep it in a table
+    format with MERGE instead.
+    """
     empty = "id string, payload string, status string, last_scrape timestamp_ntz"
 
     def sink(batch: DataFrame, n: int) -> None:
         now = spark.read.parquet(f"{table}/v{n}") if n else spark.createDataFrame([], empty)
         upserts.upsert(now, batch).write.mode("overwrite").parquet(f"{table}/v{n + 1}")
+        if n > 1:
+            remove(spark, f"{table}/v{n - 1}")
 
     drain(stream, sink, checkpoint)
 
@@ -36,11 +44,6 @@ def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
     return by.agg(F.count("*").alias("n"), F.max("value").alias("top")).select(F.col("window.start").alias("start"), "event_type", "n", "top")
 
 
-def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
-    by = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
-    return by.agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
-
-
 def deduplicated(stream: DataFrame, key: list[str], late: str) -> DataFrame:
     """Replays of a key within the watermark are dropped."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import session
-from millrace.operators import graphs, grids, placing, ranking, spatial, trees
+from millrace.operators import graphs, grids, layout, placing, ranking, spatial, trees
 from millrace.plans import registry
 from millrace.plans.vectors import points, road_edges
 from millrace.sources import readers, writers
@@ -183,6 +183,72 @@ def test_peaks_flow_and_routes(spark, sf, places):
         assert 0 < r.length < float("inf") and r.cells >= 2
 
 
+def test_cost_raster(spark, sf, places):
+    value = smooth(places)
+    got = {(r.label, r.row, r.col): r.cost for r in QUERIES["cost_raster"](spark, sf).collect()}
+    drained = {(r.label, r.row, r.col): r.drained for r in QUERIES["drained_cells"](spark, sf).collect()}
+    assert got.keys() == value.keys()
+    for label in {k[0] for k in value}:
+        own = {k: v for k, v in value.items() if k[0] == label}
+        lo, hi = min(own.values()), max(own.values())
+        top = np.percentile([drained[k] for k in own], 99)
+        # heights of cells that aren't there are zero before they are scaled, and outside the tile after
+        rows, cols = [k[1] for k in own], [k[2] for k in own]
+        unit = lambda r, c: (own.get((label, r, c), 0.0) - lo) / (hi - lo) if min(rows) <= r <= max(rows) and min(cols) <= c <= max(cols) else 0.0  # noqa: B023, E731
+        for (_, r, c), v in own.items():
+            slope = np.hypot((unit(r, c + 1) - unit(r, c - 1)) / 2, (unit(r + 1, c) - unit(r - 1, c)) / 2)
+            want = max(0.05, 1 + 8 * slope + 6 * min(drained[label, r, c] / top, 1) - 0.8 * unit(r, c))
+            assert got[label, r, c] == pytest.approx(want, abs=1e-6)
+
+
+def test_local_roads_span_their_nodes(spark, sf, places):
+    got = QUERIES["local_roads"](spark, sf).collect()
+    local = [(r.a, r.b, r.w) for r in got if r.kind == "local"]
+    main = [(r.a, r.b, r.w) for r in got if r.kind == "main"]
+    labels = {p.label for p in places.values()}
+    assert all(a // 100 == b // 100 for a, b, _ in local) and len(kruskal(sorted(local, key=lambda e: e[2]))) == len(local)
+    assert {v for e in main for v in e[:2]} == labels and len(kruskal(sorted(main, key=lambda e: e[2]))) == len(main)
+    assert sum(r.kind == "local loop" for r in got) <= round(0.2 * len(local))
+
+
+def test_ring_shapes(spark, sf, places):
+    got = {r.label: r for r in QUERIES["ring_shapes"](spark, sf).collect()}
+    n = Counter(p.label for p in places.values())
+    assert {k: r.corners for k, r in got.items()} == dict(n)
+    assert all(0 <= r.axis < 180 and 0 < r.convexity <= 1.000001 and r.irregularity >= 0 for r in got.values())
+    turn = lambda x, y, a: {"x": float(x * np.cos(a) - y * np.sin(a)), "y": float(x * np.sin(a) + y * np.cos(a))}
+    box = [turn(x, y, 0.5) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (0.0, 1.0))]
+    ell = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2))]
+    df = spark.createDataFrame([(1, box), (2, ell), (3, box[:2])], "k int, ring array<struct<x:double,y:double>>")
+    r = {x.k: x for x in layout.shapes(df, "k").collect()}
+    assert r[1].axis == pytest.approx(np.degrees(0.5)) and r[1].convexity == pytest.approx(1.0)
+    assert r[2].convexity == pytest.approx(3 / 3.5) and r[3].axis is None
+    cut_twice = {x.k: len(x.ring) for x in layout.smoothed_rings(df.where("k < 3"), "k", 2).collect()}
+    assert cut_twice == {1: 16, 2: 24}
+
+
+def test_voronoi_cells_are_the_nearest(spark):
+    x = np.random.default_rng(4).random((40, 2))
+    cells = layout.voronoi(x, (0.0, 0.0, 1.0, 1.0))
+    assert sum(layout.shoelace(c) for c in cells) == pytest.approx(1.0)
+    grid = (np.indices((60, 60)).reshape(2, -1).T + 0.5) / 60
+    owner = ((grid[:, None] - x[None]) ** 2).sum(2).argmin(1)
+    share = np.bincount(owner, minlength=40) / len(owner)
+    assert np.abs(share - [layout.shoelace(c) for c in cells]).max() < 0.01
+    small = layout.voronoi(x, (0.0, 0.0, 1.0, 1.0), 0.5)
+    assert sum(layout.shoelace(c) for c in small) == pytest.approx(0.25)
+
+
+def test_footprints_beside_roads(spark, sf):
+    box = lambda x, y: [{"x": x, "y": y}, {"x": x + 1, "y": y}, {"x": x + 1, "y": y + 1}, {"x": x, "y": y + 1}]
+    f = spark.createDataFrame([(1, box(0.0, 0.0)), (2, box(0.0, 5.0)), (3, box(9.0, 0.45))], "id int, ring array<struct<x:double,y:double>>")
+    roads = spark.createDataFrame([(7, -5.0, 0.3, 20.0, 0.3)], "id int, ax double, ay double, bx double, by double")
+    got = {r.id: r for r in layout.clipped(f, "id", roads, 0.1, 0.5).collect()}
+    assert got[1].area == pytest.approx(0.6) and got[2].share == pytest.approx(1.0) and got[3].share == pytest.approx(1.0)
+    assert set(r.id for r in layout.clipped(f, "id", roads, 0.3, 0.5).collect()) == {2, 3}
+    assert all(0.5 <= r.share <= 1.000001 for r in QUERIES["clipped_footprints"](spark, sf).collect())
+
+
 def test_clusters_nest(spark, sf, places):
     for name in ("kmeans_hierarchy", "feature_hierarchy"):
         got = QUERIES[name](spark, sf).collect()

@@ -264,9 +264,39 @@ def test_layers_ids_counts(spark, tmp_path):
     assert writers.parquet(spark.range(9), str(tmp_path / "out")) == 9
 
 
-def test_kmeans_labels_by_size():
-    x = np.array([[0.0], [0.1], [0.2], [9.0], [9.1]])
-    assert clusters.lloyd(x, 2).tolist() == [0, 0, 0, 1, 1]
+def lloyd(x, k, rounds=50):
+    """Deterministic k-means: farthest-first seeds from the point nearest the mean; labels by size, ties by first member."""
+    at = [int(((x - x.mean(0)) ** 2).sum(1).argmin())]
+    d = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < k and d.max() > 0:
+        at.append(int(d.argmax()))
+        d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
+    c = x[at]
+    label = None
+    for _ in range(rounds):
+        new = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+        if label is not None and (new == label).all():
+            break
+        label = new
+        c = np.stack([x[label == i].mean(0) if (label == i).any() else c[i] for i in range(len(c))])
+    kinds, first, n = np.unique(label, return_index=True, return_counts=True)
+    order = sorted(range(len(kinds)), key=lambda i: (-n[i], first[i]))
+    return np.array([{int(kinds[o]): r for r, o in enumerate(order)}[int(v)] for v in label])
+
+
+def test_kmeans_of_all_parents_at_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(p, i, rng.normal(size=5).round(6).tolist()) for p, n in ((0, 57), (1, 9), (2, 1), (3, 120)) for i in range(n)] + [(4, i, [1.0] * 5) for i in range(30)]
+    rng.shuffle(rows)
+    got = {}
+    df = spark.createDataFrame([(int(p), int(i), v) for p, i, v in rows], "p int, i int, f array<double>").repartition(5)
+    for r in clusters.subdivide(df, "p", "i", "f", 10, 4, 6).collect():
+        got.setdefault(r.p, {})[r.i] = r.child
+    for p in range(5):
+        own = sorted((i, v) for q, i, v in rows if q == p)
+        n = len(own)
+        k = max(1, min(round(n / 10), 6, n // 4))
+        assert [got[p][i] for i, _ in own] == lloyd(np.array([v for _, v in own]), k).tolist()
 
 
 def test_kmeans_hierarchy_uses_all_components(spark, tmp_path):
@@ -316,12 +346,18 @@ def test_parcels_and_outlines():
     ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
     got = layout.boundary_rings(ring)
     assert sorted(len(r) for r in got) == [4, 4]
-    x = np.array([(0.0, 0.0), (0.5, 0.0), (2.0, 0.0), (2.1, 0.0)])
-    assert layout.thinned(x, np.array([1.0, 5.0, 1.0, 1.0]), 1.0).tolist() == [1, 2]
 
 
-def test_rasters():
-    from millrace.operators import raster
+def test_thinning_is_the_greedy_walk(spark):
+    from millrace.operators import layout
+
+    x = [(0.0, 0.0, 1.0), (0.5, 0.0, 5.0), (2.0, 0.0, 1.0), (2.1, 0.0, 1.0), (0.9, 0.0, 0.0), (1.6, 0.0, 0.5)]
+    p = spark.createDataFrame([(0, i, *v) for i, v in enumerate(x)] + [(1, 9, 0.5, 0.0, 0.0)], "g int, id int, x double, y double, priority double")
+    assert sorted(map(tuple, layout.thin(p, "g", 1.0).collect())) == [(0, 1), (0, 2), (1, 9)]
+
+
+def test_rasters(spark):
+    from millrace.operators import grids, raster
 
     h = np.array([[3.0, 3.0, 3.0], [2.0, 1.0, 2.0], [3.0, 0.0, 3.0]])
     f = raster.flow(h)
@@ -331,4 +367,5 @@ def test_rasters():
     d, path = raster.least_path(wall, (0, 0), (4, 0))
     assert path[0] == (0, 0) and path[-1] == (4, 0) and (2, 4) in path and d == pytest.approx(2 * (2 * 2**0.5 + 2))
     assert raster.least_path(np.array([[1.0, np.inf, 1.0]]), (0, 0), (0, 2)) == (float("inf"), [])
-    assert raster.peaks(np.array([[5.0, 1.0, 4.0, 0.0, 0.0, 3.0]]), 3.0, 0.5) == [(0, 0), (0, 5)]
+    row = spark.createDataFrame([(0, 0, c, v) for c, v in enumerate([5.0, 1.0, 4.0, 0.0, 0.0, 3.0])], "t int, row long, col long, v double")
+    assert sorted((r.row, r.col) for r in grids.peaks(row, "t", "v", 3.0, 0.5).collect()) == [(0, 0), (0, 5)]
