@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,45 +154,40 @@ def posterior(pattern: tuple[int, ...], prior: float, rates: Rates) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def _climb(counts: Counts, first: float) -> tuple[float, Rates, float]:
-    """Share of good documents, rates and log probability that one start ends at."""
-    m, total = len(counts[0][0]), sum(n for _, n in counts)
-    belief = BELIEF * total
-    prior, rates = 0.5, ([first] * m, [RATES[1]] * m)
+def _climb(votes: np.ndarray, n: np.ndarray, first: float) -> tuple[float, Rates, float]:
+    """Share of good documents, rates and log probability that one start ends at; ``votes`` has a row a pattern, ``n`` the documents of each."""
+    total = float(n.sum())
+    belief, against, for_ = BELIEF * total, (votes < 0).astype(float), (votes > 0).astype(float)
+    prior, rates = 0.5, np.array([[first] * votes.shape[1], [RATES[1]] * votes.shape[1]])
+
+    def parts() -> np.ndarray:
+        """Log probability of each pattern together with each class."""
+        return np.log([1 - prior, prior]) + against @ np.log(rates).T + for_ @ np.log(1 - rates).T
+
     for _ in range(ROUNDS):
-        good = [posterior(pattern, prior, rates) for pattern, _ in counts]
-        new: Rates = ([], [])
-        for k in range(m):
-            votes, against = [belief, belief], [belief * RATES[0], belief * RATES[1]]
-            for (pattern, n), g in zip(counts, good, strict=True):
-                for c, mass in ((0, n * (1 - g)), (1, n * g)) if pattern[k] else ():
-                    votes[c] += mass
-                    against[c] += mass * (pattern[k] < 0)
-            each = [a / v for a, v in zip(against, votes, strict=True)]
-            if each[0] < each[1]:
-                each = [sum(against) / sum(votes)] * 2
-            for c in (0, 1):
-                new[c].append(each[c])
-        share = (sum(n * g for (_, n), g in zip(counts, good, strict=True)) + 1) / (total + 2)
-        moved = max(abs(share - prior), *(abs(x - y) for c in (0, 1) for x, y in zip(rates[c], new[c], strict=True)))
+        p = parts()
+        good = np.exp(p[:, 1] - np.logaddexp(p[:, 0], p[:, 1]))
+        mass = np.stack([n * (1 - good), n * good])
+        no = mass @ against + belief * np.array(RATES)[:, None]
+        cast = mass @ (against + for_) + belief
+        new = no / cast
+        new = np.where(new[0] < new[1], no.sum(axis=0) / cast.sum(axis=0), new)
+        share = float((mass[1].sum() + 1) / (total + 2))
+        moved = max(abs(share - prior), float(np.abs(new - rates).max()))
         prior, rates = share, new
         if moved < 1e-9:
             break
-    fit = sum(belief * (RATES[c] * math.log(r) + (1 - RATES[c]) * math.log(1 - r)) for c in (0, 1) for r in rates[c])
-    for pattern, n in counts:
-        parts = [math.log(share) for share in (1 - prior, prior)]
-        for c in (0, 1):
-            parts[c] += sum(math.log(rates[c][k] if v < 0 else 1 - rates[c][k]) for k, v in enumerate(pattern) if v)
-        top = max(parts)
-        fit += n * (top + math.log(sum(math.exp(x - top) for x in parts)))
-    return prior, rates, fit
+    p = parts()
+    held = belief * (np.array(RATES)[:, None] * np.log(rates) + (1 - np.array(RATES)[:, None]) * np.log(1 - rates)).sum()
+    return prior, (rates[0].tolist(), rates[1].tolist()), float(held + n @ np.logaddexp(p[:, 0], p[:, 1]))
 
 
 def estimate(counts: Counts) -> tuple[float, Rates]:
     """Share of good documents and the rules' rates: expectation-maximisation over patterns of votes and their counts."""
     if not counts:
         return 0.5, ([RATES[0]] * len(RULES), [RATES[1]] * len(RULES))
-    prior, rates, _ = max((_climb(counts, first) for first in STARTS), key=lambda x: x[2])
+    votes, n = np.array([pattern for pattern, _ in counts], np.int8), np.array([n for _, n in counts], float)
+    prior, rates, _ = max((_climb(votes, n, first) for first in STARTS), key=lambda x: round(x[2], 6))
     return prior, rates
 
 
