@@ -16,7 +16,8 @@ so is every text where nothing could be learned. The score is the cosine, held
 to 0 .. 1; ties go to the language that sorts first. Rows with a null doc_id are
 predicted, not learned from, and aren't held out. Repeated rows count each. A
 text of any length is taken in slices cut behind white space, whose sums add up
-to the whole's. Columns that are already named lang_pred or score are replaced.
+to the whole's. Columns that are already named as what is added (a parameter) are
+replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from millrace.llm.textkit import batches, sent_in_parts, slices
 
@@ -176,20 +177,18 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.stack([found[x] for x in langs]) if langs else np.zeros((0, DIM))
 
 
-def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and cosine of each text."""
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if not langs:
-        return names, scores
+def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], list[float], list[int]]:
+    """Language, cosine and number of letters of each text."""
+    names, scores, letters = [UNKNOWN] * len(texts), [0.0] * len(texts), np.zeros(len(texts), np.int64)
     unit = (prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)).astype(np.float32)
-    vectors, lettered = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
+    vectors = np.zeros((len(texts), DIM), np.float32)
     parts = ((d, part) for d, t in enumerate(texts) for _, part in slices(t, CHARS))
     for _, some in batches(parts, ROWS, CHARS, size=lambda p: len(p[1])):
         of = np.array([d for d, _ in some])
         part, run, base = runs([t for _, t in some])
         if not len(run):
             continue
-        lettered[of[np.unique(part)]] = True
+        np.add.at(letters, of, np.bincount(part, minlength=len(some)))
         kinds, place = distinct(run, base)
         for i in range(0, len(kinds), 8192):
             here = (place >= i) & (place < i + 8192) if len(kinds) > 8192 else slice(None)
@@ -200,17 +199,22 @@ def predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple
                 vectors[of[0] : of[-1] + 1] += more
             else:
                 np.add.at(vectors, of, more)
-    cos = (vectors @ unit.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-    best = cos.argmax(axis=1)
-    for d in np.flatnonzero(lettered).tolist():
-        names[d], scores[d] = langs[best[d]], float(min(1.0, max(0.0, cos[d, best[d]])))
-    return names, scores
+    if langs:
+        cos = (vectors @ unit.T) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+        best = cos.argmax(axis=1)
+        for d in np.flatnonzero(letters).tolist():
+            names[d], scores[d] = langs[best[d]], float(min(1.0, max(0.0, cos[d, best[d]])))
+    return names, scores, letters.tolist()
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """``docs`` with lang_pred and score; learns from the rows that aren't held out unless a model is given."""
+#: Columns that ``identify`` adds.
+ADDED = ("lang_pred", "score", "letters")
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with the predicted language, its score and the number of letters; learns from the rows that aren't held out unless a model is given."""
     langs, prototypes = model or train(docs.where(learned_from()))
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*added)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prototypes))  # at most MAX_LANGUAGES * DIM numbers
     at = docs.columns.index("text")
@@ -219,9 +223,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
         for b in rows:
             for i in range(0, b.num_rows, 1024):
                 some = b.slice(i, 1024)
-                names, scores = predict([t or "" for t in some.column(at).to_pylist()], *shared.value)
-                new = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*some.columns, *new], [*some.schema.names, "lang_pred", "score"])
+                names, scores, letters = predict([t or "" for t in some.column(at).to_pylist()], *shared.value)
+                new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *new], [*some.schema.names, *added])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kinds = (StringType(), DoubleType(), LongType())
+    schema = StructType([*docs.schema.fields, *(StructField(c, k) for c, k in zip(added, kinds, strict=True))])
     return sent_in_parts(docs).mapInArrow(run, schema)

@@ -116,7 +116,8 @@ def test_language_is_the_cosine():
         return out
 
     p = np.stack([vector(texts[0]), vector(texts[1])])
-    _, scores = language.predict(texts[2:], ["x", "y"], p)
+    _, scores, letters = language.predict(texts[2:], ["x", "y"], p)
+    assert letters == [7]
     v = vector(texts[2])
     assert scores[0] == pytest.approx(max(p @ v / np.linalg.norm(p, axis=1) / np.linalg.norm(v)), abs=1e-5)
 
@@ -509,7 +510,7 @@ def test_long_texts_have_the_language_of_the_whole(monkeypatch):
     want = language.predict(texts, list("abc"), p)
     monkeypatch.setattr(language, "CHARS", 300)
     got = language.predict(texts, list("abc"), p)
-    assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-5)
+    assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-5) and got[2] == want[2] == [2000, 0, 630, 1]
 
 
 def test_darts_on_heavy_elements_take_no_pass_a_unit():
