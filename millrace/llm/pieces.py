@@ -40,7 +40,7 @@ from millrace.llm.textkit import sent_in_parts
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments and pairs kept by a worker, and the longest segment that is kept.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 300_000, 400_000, 48
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 150_000, 200_000, 48
 #: Stands before the first piece of a segment (below the complement of any code point).
 NONE = -0x200000
 
