@@ -3,7 +3,7 @@
 A document's vector has ``DIM`` components, one a bit of its words' hashes: the
 share of its distinct words that have the bit, less one half. That is a random
 projection of the set of words, so documents that share vocabulary are near. The
-bits are counted three to a long, each in ``FIELD`` bits of its own, and long
+bits are counted four to a long, each in ``FIELD`` bits of its own, and long
 lists of words in stretches that no field overflows on.
 
 Centres start from the documents with the smallest hash of their text in
@@ -22,9 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIM, TOPICS, ROUNDS = 24, 8, 8
-FIELD, FIELDS = 21, 3
-STRETCH = 1 << (FIELD - 1)
+DIM, TOPICS, ROUNDS = 16, 8, 8
+FIELD, FIELDS = 16, 4
+STRETCH = (1 << (FIELD - 1)) - 1
 SPACE = r"[\x20\x09-\x0D]+"
 EMPTY = "empty"
 
