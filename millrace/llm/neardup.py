@@ -84,14 +84,19 @@ def _throw(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, reach: np.ndarr
     wide = np.ceil(weight).astype(np.int64)
     whole, before = int(wide.sum()), np.cumsum(wide) - wide
     for lo in range(0, whole, CELLS):
-        nth = np.arange(lo, min(whole, lo + CELLS))
-        on = np.searchsorted(before, nth, side="right") - 1
-        o, e, w, unit = owner[on], h[on], weight[on], nth - before[on]
+        if whole == len(wide):  # one unit each
+            on, first = slice(lo, lo + CELLS), None
+        else:
+            nth = np.arange(lo, min(whole, lo + CELLS))
+            on = np.searchsorted(before, nth, side="right") - 1
+            first = nth - before[on]
+        o, e, w = owner[on], h[on], weight[on]
         high = np.ceil(reach[o]).astype(np.int64)
         rep = np.repeat(np.arange(len(o)), high)
         rank = np.arange(len(rep)) - np.repeat(np.cumsum(high) - high, high)
         with np.errstate(over="ignore"):
-            cell = mix64(e[rep] + rank.astype(np.uint64) * _C[1] + unit[rep].astype(np.uint64) * _C[2])
+            place = e[rep] + rank.astype(np.uint64) * _C[1]
+            cell = mix64(place if first is None else place + first[rep].astype(np.uint64) * _C[2])
             darts = np.searchsorted(_POISSON, (cell >> np.uint64(11)).astype(np.float64) / 2.0**53)
             rep2 = np.repeat(np.arange(len(rep)), darts)
             nth2 = np.arange(len(rep2)) - np.repeat(np.cumsum(darts) - darts, darts)
@@ -99,7 +104,7 @@ def _throw(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, reach: np.ndarr
             at = mix64(dart ^ _C[4])
         who, r = rep[rep2], rank[rep2]
         fraction = (dart >> np.uint64(16)).astype(np.float64) / 2.0**48
-        ok = (r + fraction < reach[o[who]]) & (unit[who] + (at >> np.uint64(32)).astype(np.float64) / 2.0**32 < w[who])
+        ok = (r + fraction < reach[o[who]]) & ((0 if first is None else first[who]) + (at >> np.uint64(32)).astype(np.float64) / 2.0**32 < w[who])
         coordinate = (at & np.uint64(0xFFFFFFFF)) % np.uint64(k)
         value = (r.astype(np.uint64) << np.uint64(48)) | (dart >> np.uint64(16))
         np.minimum.at(out, (o[who[ok]], coordinate[ok].astype(np.int64)), value[ok])
