@@ -23,9 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text of fewer than ``ENOUGH`` letters is too short to tell, so it stays if it has a letter. ``lang`` becomes the language that was found, null ones included: later stages work by it.
     """
-    short = F.regexp_count("text", F.lit(r"\p{L}")) < ENOUGH
-    known = language.identify(docs).where((F.col("lang_pred") != language.UNKNOWN) & (short | (F.col("score") >= LEAST_SCORE)))
-    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    lang, score, letters = added = ("__lang", "__score", "__letters")
+    found = language.identify(docs, added=added)
+    known = found.where((F.col(lang) != language.UNKNOWN) & ((F.col(letters) < ENOUGH) | (F.col(score) >= LEAST_SCORE)))
+    return known.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
