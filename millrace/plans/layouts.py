@@ -9,9 +9,10 @@ from millrace.operators import clusters as C
 from millrace.operators import graphs as G
 from millrace.operators import grids as N
 from millrace.operators import layout as L
+from millrace.operators import ranking as Q
 from millrace.operators import raster as R
 from millrace.operators import spatial as S
-from millrace.plans.placing import lines
+from millrace.plans.placing import SEG, lines
 from millrace.plans.registry import query
 from millrace.plans.vectors import E_SQL, points, vectors
 from millrace.session import cut
@@ -156,3 +157,47 @@ def clipped_footprints(spark: SparkSession, d: str) -> DataFrame:
     roads = lines(spark, d).select("id", "ax", "ay", "bx", "by")
     kept = L.clipped(p.withColumn("ring", L.quad("x", "y", "angle", "w", "h")), "id", roads, 0.001, 0.5)
     return kept.select("id", F.round("area", 9).alias("area"), F.round("share", 6).alias("share"))
+
+
+TRIANGLES = """t AS (SELECT a.label, a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM p a JOIN p b ON a.label = b.label AND a.id < b.id JOIN p c ON b.label = c.label AND b.id < c.id WHERE a.label < 4),
+d AS (SELECT t.*, 2 * (ax * (by_ - cy) + bx * (cy - ay) + cx * (ay - by_)) AS det FROM t), o AS (SELECT *, ((ax * ax + ay * ay) * (by_ - cy) + (bx * bx + by_ * by_) * (cy - ay) + (cx * cx + cy * cy) * (ay - by_)) / det AS ox, ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by_ * by_) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / det AS oy FROM d WHERE det <> 0),
+f AS (SELECT *, abs(det) / 4 AS area, sqrt(greatest((ax - bx) ** 2 + (ay - by_) ** 2, (bx - cx) ** 2 + (by_ - cy) ** 2, (ax - cx) ** 2 + (ay - cy) ** 2)) AS longest FROM o WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.label = o.label AND q.id NOT IN (a, b, c) AND (q.x - ox) ** 2 + (q.y - oy) ** 2 < ((ax - ox) ** 2 + (ay - oy) ** 2) * (1 - 1e-9)))"""
+
+
+def few(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).where("label < 4")
+
+
+@query(f"""WITH {E_SQL}, {TRIANGLES}, s AS (SELECT label, a, b FROM f UNION SELECT label, b, c FROM f UNION SELECT label, a, c FROM f), n AS (SELECT label, count(*) AS edges FROM s GROUP BY 1)
+SELECT label, count(*) AS triangles, any_value(edges) AS edges, round(sum(area), 7) AS area FROM f JOIN n USING (label) GROUP BY label""")
+def triangulation(spark: SparkSession, d: str) -> DataFrame:
+    """Delaunay triangles of each island's points: candidate edges for its roads."""
+    found = cut(L.triangles(few(spark, d), "label"))
+    n = L.edges_of(found, "label").groupBy("label").agg(F.count("*").alias("edges"))
+    return found.groupBy("label").agg(F.count("*").alias("triangles"), F.round(F.sum("area"), 7).alias("area")).join(n, "label")
+
+
+@query(f"""WITH {E_SQL}, {TRIANGLES}, q AS (SELECT label, quantile_cont(longest, 0.9) AS most FROM f GROUP BY 1), k AS (SELECT f.* FROM f JOIN q USING (label) WHERE longest <= most),
+s AS (SELECT label, a, b, count(*) AS n FROM (SELECT label, a, b FROM k UNION ALL SELECT label, b, c FROM k UNION ALL SELECT label, a, c FROM k) GROUP BY ALL)
+SELECT label, (SELECT count(*) FROM k WHERE k.label = q.label) AS triangles, (SELECT round(sum(area), 7) FROM k WHERE k.label = q.label) AS area, (SELECT count(*) FROM s WHERE s.label = q.label AND n = 1) AS outline FROM q""")
+def alpha_land(spark: SparkSession, d: str) -> DataFrame:
+    """The land of each island: triangles without a long side, and the edges of its outline."""
+    found = cut(L.triangles(few(spark, d), "label"))
+    most = Q.order_statistics(found, ["label"], "longest", most=("cont", 0.9)).select("label", "most")
+    kept = cut(found.join(most, "label").where("longest <= most").drop("most"))
+    outline = L.edges_of(kept, "label").where("n = 1").groupBy("label").agg(F.count("*").alias("outline"))
+    return kept.groupBy("label").agg(F.count("*").alias("triangles"), F.round(F.sum("area"), 7).alias("area")).join(outline, "label")
+
+
+@query(f"""WITH {E_SQL}, q AS (SELECT id, 0.002 + 0.001 * (id % 5) AS w, 0.004 AS d, 0.01 + 0.005 * (id % 3) AS h FROM p), {SEG}
+SELECT 'building' AS part, id, 10 AS triangles, round(CAST(w * d + 2 * (w + d) * h AS DOUBLE), 9) AS area FROM q UNION ALL SELECT 'road', id, 2, round(len * 0.004, 9) FROM h""")
+def meshes(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings as prisms and roads as ribbons, in triangles."""
+    p = points(spark, d).withColumns({"w": 0.002 + 0.001 * (F.col("id") % 5), "d": F.lit(0.004), "h": 0.01 + 0.005 * (F.col("id") % 3), "angle": F.col("id") % 7 * 0.3})
+    body = p.select(F.lit("building").alias("part"), "id", L.extruded(L.quad("x", "y", "angle", "w", "d"), F.col("h")).alias("t"))
+    r = lines(spark, d).select("id", L.ribbon(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), 0.002).alias("ring"))
+    corner = lambda i: F.struct(F.get("ring", F.lit(i))["x"].alias("x"), F.get("ring", F.lit(i))["y"].alias("y"), F.lit(0.0).alias("z"))
+    road = r.select(F.lit("road").alias("part"), "id", F.array(F.array(corner(0), corner(1), corner(2)), F.array(corner(0), corner(2), corner(3))).alias("t"))
+    both = body.unionByName(road)
+    area = F.aggregate(F.transform("t", L.triangle_area), F.lit(0.0), lambda s, a: s + a)
+    return both.select("part", "id", F.size("t").alias("triangles"), F.round(area, 9).alias("area"))

@@ -239,6 +239,19 @@ def test_voronoi_cells_are_the_nearest(spark):
     assert sum(layout.shoelace(c) for c in small) == pytest.approx(0.25)
 
 
+def test_triangulation_has_empty_circles():
+    for n in (3, 4, 17, 80):
+        x = np.random.default_rng(n).normal(size=(n, 2))
+        t = layout.delaunay(x)
+        for a, b, c in x[t]:
+            m = np.array([b - a, c - a])
+            centre = a + np.linalg.solve(2 * m, (m * m).sum(1))
+            r = np.hypot(*(a - centre))
+            assert (np.hypot(*(x - centre).T) >= r * (1 - 1e-9)).all()
+        assert sum(layout.shoelace(x[k]) for k in t) == pytest.approx(layout.shoelace(layout.hull(x)))
+    assert len(layout.delaunay(np.zeros((5, 2)))) == 0 and len(layout.delaunay(np.array([[0.0, 0], [1, 1], [2, 2]]))) == 0
+
+
 def test_footprints_beside_roads(spark, sf):
     box = lambda x, y: [{"x": x, "y": y}, {"x": x + 1, "y": y}, {"x": x + 1, "y": y + 1}, {"x": x, "y": y + 1}]
     f = spark.createDataFrame([(1, box(0.0, 0.0)), (2, box(0.0, 5.0)), (3, box(9.0, 0.45))], "id int, ring array<struct<x:double,y:double>>")
