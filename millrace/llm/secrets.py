@@ -273,24 +273,26 @@ def fit(bits: np.ndarray, tags: np.ndarray, length: np.ndarray, rounds: int = 80
     emit, move = np.zeros((BITS + 1, 3)), np.zeros((3, 3))
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
     total = max(1, int(real.sum()))
+    seen = real[:, :, None]
     for r in range(1, rounds + 1):
-        e = (flat @ emit.astype(np.float32)).reshape(n, most, 3).astype(np.float64)
-        a = np.zeros((n, most, 3))
-        a[:, 0] = e[:, 0]
+        e = (flat @ emit.astype(np.float32)).reshape(n, most, 3)
+        see, step = np.exp(e - e.max(axis=2, keepdims=True)).astype(np.float64), np.exp(move)
+        # forwards and backwards in probabilities, scaled at each token; a window's end is carried through its padding
+        a, scale = np.empty((n, most, 3)), np.ones((n, most, 1))
+        scale[:, 0] = see[:, 0].sum(axis=1, keepdims=True)
+        a[:, 0] = see[:, 0] / scale[:, 0]
         for t in range(1, most):
-            m = a[:, t - 1, :, None] + move[None]
-            top = m.max(axis=1)
-            a[:, t] = np.where(real[:, t, None], top + np.log(np.exp(m - top[:, None]).sum(axis=1)) + e[:, t], a[:, t - 1])
-        z = np.logaddexp.reduce(a[:, -1], axis=1)
-        b = np.zeros((n, most, 3))
+            x = (a[:, t - 1] @ step) * see[:, t]
+            scale[:, t] = np.where(seen[:, t], x.sum(axis=1, keepdims=True), 1)
+            a[:, t] = np.where(seen[:, t], x / scale[:, t], a[:, t - 1])
+        b = np.ones((n, most, 3))
         got_t = np.zeros((3, 3))
         for t in range(most - 2, -1, -1):
-            m = move[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :]
-            top = m.max(axis=2)
-            b[:, t] = np.where(real[:, t + 1, None], top + np.log(np.exp(m - top[:, :, None]).sum(axis=2)), 0)
-            both = np.exp(a[:, t, :, None] + m - z[:, None, None])
-            got_t += (both * real[:, t + 1, None, None]).sum(axis=0)
-        p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
+            ahead = np.where(seen[:, t + 1], see[:, t + 1] * b[:, t + 1] / scale[:, t + 1], 0)
+            got_t += a[:, t].T @ ahead
+            b[:, t] = np.where(seen[:, t + 1], ahead @ step.T, 1)
+        got_t *= step
+        p = a * b * seen
         got_e = flat.T @ p.reshape(-1, 3).astype(np.float32)
         for k, (w, g) in enumerate(((emit, (want_e - got_e) / total - decay * emit / 10), (move, (want_t - got_t) / total - decay * move / 10))):
             m1, m2 = state[2 * k], state[2 * k + 1]
