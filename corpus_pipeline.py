@@ -39,13 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     found = neardup.near_duplicates(known.select("doc_id", "text"))
     first = found.where("doc_id = class_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # the first by the columns that have an order; maps have none
+    ordered = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    whole = lambda *without: F.min_by(F.struct(*[c for c in docs.columns if c not in without]), ordered).alias("__row")
     kept = known.join(first, "doc_id", "left_semi")
     # only doc_ids that are repeated go through an aggregation; texts of the others stay where they are
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     alone = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row")).select("doc_id", "__row.*")
-    unnamed = docs.where("doc_id IS NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*")
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(whole("doc_id")).select("doc_id", "__row.*")
+    unnamed = docs.where("doc_id IS NULL").groupBy("text").agg(whole("text")).select("text", "__row.*")
     out = alone.select(*docs.columns)
     for more in (again, unnamed):
         out = out.unionByName(more.select(*docs.columns))
