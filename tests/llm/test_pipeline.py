@@ -57,6 +57,18 @@ def test_near_dedup_keeps_one_row_of_a_repeated_document(spark, sf):
     assert sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, "de"), (3, "en")]
 
 
+def test_near_dedup_takes_any_columns(spark, sf):
+    one, two = ("".join(f" {w}{i}" for i in range(60)) for w in ("red", "green"))
+    rows = [(1, one, {"k": 1}, 7, "x"), (1, one, {"k": 2}, 6, "x"), (None, two, {"k": 3}, 1, None), (None, two, None, 2, None), (2, two, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n map<string,int>, class_id int, same string")
+    got = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == [(1, 6), (2, 3), (None, 1)]
+    bare = corpus_pipeline.near_dedup(spark, docs.select("text", "doc_id"), sf)
+    assert bare.columns == ["text", "doc_id"] and bare.count() == 3
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf).count() == 0
+
+
 def test_language_id_rejects_only_long_texts_like_no_language(spark, sf):
     import random
 
