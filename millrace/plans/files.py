@@ -142,10 +142,8 @@ def raster_archive(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
 def database_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Two tables of a database (Derby, in the driver's memory: for a local master), one scanned, one asked by a query of its own."""
-    url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
-    for name in ("nation", "region"):
-        t(spark, d, name).coalesce(1).write.format("jdbc").options(url=url, dbtable=name).save()
+    """Two tables of a database (Derby, in an archive that driver and executors read), one scanned, one asked by a query of its own."""
+    url = writers.derby_archive({name: t(spark, d, name) for name in ("nation", "region")}, f"{_spot(spark, 'derby')}.jar")
     nation = readers.jdbc_tables(spark, url, ["nation"])["nation"].where("n_nationkey % 2 = 0")
     region = readers.jdbc_query(spark, url, 'SELECT "r_regionkey", "r_name" FROM region')
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
