@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from millrace.operators import emptycircles, placing
+from millrace.plans import registry
 
 RNG = np.random.default_rng(5)
 GRID = np.stack([g.ravel() for g in np.meshgrid(np.arange(15) * 0.01, np.arange(15) * 0.01)])
@@ -69,3 +70,17 @@ def test_thousands_within_reach_of_each_other(spark):
             inside = emptycircles.rounded(d + (x - x[b]) ** 2 + (y - y[b]) ** 2) < emptycircles.rounded(d[b])
             inside[[a, b]] = False
             assert ((min(a, b), max(a, b)) in seen) == (not inside.any())
+
+
+def test_tiers_of_a_dense_table(spark, tmp_path):
+    """4,000 points all in reach of each other: an edge has the highest tier that has it."""
+    v = RNG.normal(0, 0.001, (4000, 2))
+    rows = [(i, 0, [float(p), float(q)]) for i, (p, q) in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for k in (1, 2, 4):
+        ids = np.arange(0, 4000, k)
+        a, b, _ = emptycircles.edges(*v[ids].T.copy(), ids >= 0, ids, ids, 0.015 * k)
+        want |= {(int(p), int(q)): k for p, q in zip(ids[a], ids[b], strict=True)}
+    got = registry.load()[0]["tiered_network"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.tier for r in got} == want and len(got) == len(want)
