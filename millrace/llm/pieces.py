@@ -10,8 +10,13 @@ decided once, by merging its few characters, and remembered.
 
 Texts are cut into segments first, where no piece of the model can reach across
 (before a run of word marks, and around characters that occur in no longer
-piece, such as a line feed), and the encodings of short segments are kept in a
-bounded cache in each worker.
+piece, such as a line feed). The encodings of short segments are kept in a
+bounded cache in each worker. New ones are taken a batch of texts at a time, in
+sorted order: words begin alike, and the part of the table that belongs to the
+prefix shared with the word before stays as it is. Only long segments are run
+through the automaton. A new segment is decoded from its ids and held against its
+text; while all come back as they were, a text's decoding is known from theirs,
+and otherwise it is made from the ids.
 
 Covered models: BPE with the identity normaliser, escaped white space, byte
 fallback and no user-defined pieces; others are refused. The model's bytes are
@@ -25,7 +30,6 @@ ignored, as the function says.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.textkit import sent_in_parts
+from millrace.llm.textkit import batches, sent_in_parts
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Segments and pairs kept by a worker, and the longest segment that is kept.
-CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS = 150_000, 200_000, 48
+#: Segments and pairs kept by a worker, the longest segment that is kept, and characters of a batch of texts.
+CACHE_SEGMENTS, CACHE_PAIRS, CACHE_CHARS, BATCH_CHARS = 400_000, 500_000, 48, 1 << 21
 #: Stands before the first piece of a segment (below the complement of any code point).
 NONE = -0x200000
 
@@ -69,10 +73,21 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, v
 
 
-def _halve(cache: dict) -> None:
-    """Drop the older half, in place."""
-    for key in list(itertools.islice(cache, len(cache) // 2)):
-        del cache[key]
+class Kept:
+    """A bounded dictionary: what hasn't been asked for since half of it was filled anew is dropped."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        if (got := self.young.get(key)) is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Codec:
@@ -92,8 +107,12 @@ class Codec:
         self.length = [len(p) for p in self.pieces]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.spaced = [p.replace(MARK, " ") for p in self.pieces]
-        self.pairs: dict[int, bool] = {}
-        self.kept: dict[str, tuple[str, str]] = {}
+        #: Ends of pieces: the piece, or -1 where it is the end of longer ones only.
+        self.ends = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
+        self.numbers = list(range(len(self.pieces)))  # one object each
+        #: By key: what follows the mark of a segment, or a line feed and a segment without one.
+        self.pairs, self.kept = Kept(CACHE_PAIRS), Kept(CACHE_SEGMENTS)
+        self.faithful = True  # every segment so far was decoded to its own text
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (i, len(p)))
@@ -132,17 +151,33 @@ class Codec:
         key = before << 24 | piece
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                _halve(self.pairs)
             a = "" if before == NONE else self.pieces[before] if before >= 0 else chr(~before)
             b = self.pieces[piece]
-            ok = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
+            ok = self.merge(a + b) == ([a, b] if a else [b])
+            self.pairs.put(key, ok)
         return ok
 
+    def extend(self, last: list[int], text: str) -> None:
+        """Carry the table on from the prefix it holds to the end of a short text."""
+        ends, pairs, numbers = self.ends, self.pairs, self.numbers
+        for n in range(len(last) + 1, len(text) + 1):
+            start, found = n - 1, []
+            while start >= 0 and (piece := ends.get(text[start:n])) is not None:
+                if piece >= 0:
+                    found.append((piece, last[start - 1] if start else NONE))
+                start -= 1
+            for piece, before in reversed(found):  # the longest first
+                ok = pairs.young.get(before << 24 | piece)
+                if ok or ok is None and self.fit(before, piece):
+                    last.append(numbers[piece])
+                    break
+            else:
+                last.append(~ord(text[n - 1]))
+
     def table(self, text: str) -> list[int]:
         """The last piece of each prefix, from the one of length 1; the complement of its code point for a character without a piece."""
         last: list[int] = []
-        n, pairs = 0, self.pairs
+        n = 0
         for end, (piece, length) in self.automaton.iter(text):  # in order of their ends
             if end < n:
                 continue
@@ -150,16 +185,15 @@ class Codec:
                 last.append(~ord(text[n]))
                 n += 1
             before = last[end - length] if length <= end else NONE
-            ok = pairs.get(before << 24 | piece)
-            if ok or ok is None and self.fit(before, piece):
+            if self.fit(before, piece):
                 last.append(piece)
                 n += 1
         last += [~ord(c) for c in text[n:]]
         return last
 
-    def split(self, text: str) -> list[int]:
+    def back(self, text: str, last: list[int]) -> list[int]:
         """Ids of a segment, recovered backwards from its prefix table."""
-        last, end, out = self.table(text), len(text), []
+        end, out = len(text), []
         while end:
             piece = last[end - 1]
             if piece < 0:
@@ -171,17 +205,29 @@ class Codec:
         out.reverse()
         return out
 
-    def segment(self, text: str) -> tuple[str, str]:
-        """(ids in decimal, decoded) of a segment."""
-        if (got := self.kept.get(text)) is not None:
-            return got
-        ids = self.split(text)
-        got = (",".join([self.decimal[i] for i in ids]), self.text_of(ids))
-        if len(text) <= CACHE_CHARS:
-            if len(self.kept) >= CACHE_SEGMENTS:
-                _halve(self.kept)
-            self.kept[text] = got
-        return got
+    def added(self, keys: list[str]) -> dict[str, str]:
+        """Ids in decimal by key, of segments that aren't kept."""
+        out, held, last = {}, "", []
+        for key in sorted(keys):
+            text = key[1:] if self.split_lines and key[:1] == "\n" else MARK + key
+            if short := len(text) <= CACHE_CHARS:
+                n = 0
+                for x, y in zip(held, text):  # noqa: B905
+                    if x != y:
+                        break
+                    n += 1
+                del last[n:]
+                self.extend(last, text)
+                held, table = text, last
+            else:
+                table = self.table(text)
+            ids = self.back(text, table)
+            if self.faithful and self.text_of(ids) != text.replace(MARK, " "):
+                self.faithful = False
+            out[key] = got = ",".join([self.decimal[i] for i in ids])
+            if short:
+                self.kept.put(key, got)
+        return out
 
     def text_of(self, ids: list[int] | tuple[int, ...]) -> str:
         """Decoded text of ids, with word marks as spaces and the first of them kept."""
@@ -201,20 +247,39 @@ class Codec:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out)
 
-    def segments(self, text: str) -> list[tuple[str, str]]:
-        if not text:
-            return []
-        seg, kept = self.segment, self.kept
-        out: list[tuple[str, str]] = []
-        lines = (MARK + text.replace(" ", MARK)).split("\n") if self.split_lines else [MARK + text.replace(" ", MARK)]
-        for n, line in enumerate(lines):
+    def keys(self, text: str) -> list[str]:
+        """The segments of a text, as keys."""
+        out: list[str] = []
+        for n, line in enumerate(text.split("\n") if self.split_lines else [text]):
             if n:
-                out.append(seg("\n"))
-            out += [kept.get(s) or seg(s) for s in self.marks.findall(line)]
+                out.append("\n\n")
+                if not line:
+                    continue
+            words = line.split(" ")
+            if "" in words or MARK in line:  # runs of marks; only the first line has a mark of its own in front
+                whole = (MARK if not n else "") + line.replace(" ", MARK)
+                out += [s[1:] if s[0] == MARK else "\n" + s for s in self.marks.findall(whole)]
+                continue
+            if n:
+                words[0] = "\n" + words[0]
+            out += words
         return out
 
+    def batch(self, texts: list[str]) -> list[list[str]]:
+        """Ids in decimal, segment by segment, of each text."""
+        keyed = [self.keys(t) if t else [] for t in texts]
+        out = [list(map(self.kept.young.get, keys)) for keys in keyed]
+        asked = {k for keys, got in zip(keyed, out, strict=True) if None in got for k, g in zip(keys, got, strict=True) if g is None}
+        known = {k: g for k in asked if (g := self.kept.get(k)) is not None}
+        known |= self.added([k for k in asked if k not in known])
+        return [[g or known[k] for k, g in zip(keys, got, strict=True)] if None in got else got for keys, got in zip(keyed, out, strict=True)]
+
     def encode(self, text: str) -> list[int]:
-        return _ids(self.segments(text))
+        return _ids(self.batch([text])[0])
+
+    def decoded(self, text: str, segments: list[str]) -> str:
+        """What the ids of a text are decoded to."""
+        return text.replace(MARK, " ") if self.faithful else self.decode(_ids(segments))
 
     def decode(self, ids: list[int]) -> str:
         text = self.text_of(ids)
@@ -236,17 +301,18 @@ def model_bytes(path: str | None = None) -> bytes:
 
 
 def _mapped(docs: DataFrame, new: dict[str, tuple[str, pa.DataType]], row, path: str | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep and what ``row(segments)`` makes of the text."""
+    """doc_id, the columns to keep and what ``row(codec, text, its segments)`` makes of it."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     docs = docs.select(F.col("doc_id").cast("long"), *keep, "text")
     held = StructType(docs.schema.fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(sent: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rows = [row(c.segments(t or "")) for t in part.column(part.num_columns - 1).to_pylist()]
+        for b in sent:
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            for at, held_texts in batches(texts, most_chars=BATCH_CHARS):
+                part = b.slice(at, len(held_texts))
+                rows = [row(c, t, segments) for t, segments in zip(held_texts, c.batch(held_texts), strict=True)]
                 cols = list(zip(*rows, strict=True)) or [[] for _ in new]
                 arrays = [*part.columns[:-1], *(pa.array(v, t) for v, (_, t) in zip(cols, new.values(), strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, [*held.names, *new])
@@ -256,19 +322,18 @@ def _mapped(docs: DataFrame, new: dict[str, tuple[str, pa.DataType]], row, path:
     return sent_in_parts(docs).mapInArrow(run, schema)
 
 
-def _ids(segments: list[tuple[str, str]]) -> list[int]:
-    return [int(i) for s in segments for i in s[0].split(",")]
+def _ids(segments: list[str]) -> list[int]:
+    return list(map(int, ",".join(segments).split(","))) if segments else []
 
 
-def _real(segments: list[tuple[str, str]]) -> tuple:
-    return _ids(segments), "".join([s[1] for s in segments])[1:]
+def _real(c: Codec, text: str, segments: list[str]) -> tuple:
+    return _ids(segments), c.decoded(text, segments)
 
 
-def _digest(segments: list[tuple[str, str]]) -> tuple:
-    ids = ",".join([s[0] for s in segments])
-    decoded = "".join([s[1] for s in segments])[1:]
+def _digest(c: Codec, text: str, segments: list[str]) -> tuple:
+    ids = ",".join(segments)
     n = ids.count(",") + 1 if ids else 0
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decoded(text, segments).encode()).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -313,6 +313,24 @@ def test_pieces(spark, docs, empty):
     assert pieces.digest_documents(empty).count() == 0
 
 
+def test_new_words_share_the_table_of_their_prefixes():
+    """A word that goes on from another one's prefix is looked up from there; small caches change nothing."""
+    import sentencepiece
+
+    model, rng = pieces.model_bytes(), random.Random(4)
+    sp, c = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Codec(model)
+    c.pairs, c.kept = pieces.Kept(40), pieces.Kept(40)
+    looked = []
+    c.extend = lambda last, text, go=c.extend: (looked.append(len(text) - len(last)), go(last, text))[1]
+    stems = ["".join(rng.choice("thenrséio,.") for _ in range(12)) for _ in range(30)]
+    texts = [" ".join(rng.choice(stems)[: rng.randint(1, 12)] + rng.choice("aeiou\n▁ ") for _ in range(60)) for _ in range(20)]
+    texts += ["", "x" * 300, "\n\n a\n", "▁▁ b"]
+    for t, got in zip(texts, c.batch(texts), strict=True):
+        assert pieces._ids(got) == sp.encode(t) and c.decoded(t, got) == sp.decode(sp.encode(t))
+    new = {k for t in texts for k in c.keys(t) if len(k) < pieces.CACHE_CHARS}
+    assert sum(looked) < sum(len(k) + 1 for k in new) / 2
+
+
 def feasible(sizes, shards, cap):
     n, at = 1, 0
     for s in sizes:
